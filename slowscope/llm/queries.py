@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, lm_score, packing, quality, simhash, token_counts
+from . import bpe_codec, licenses, lm_score, packing, quality, secrets, simhash, token_counts
 from .common import table
 
 
@@ -30,6 +30,24 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] < 3)
+    return found.select(
+        "doc_id",
+        secrets.counted(spans, 0).alias("n_assign"),
+        secrets.counted(spans, 1).alias("n_access"),
+        secrets.counted(spans, 2).alias("n_hex"),
+        F.sha2(secrets.spelled(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.spelled(spans).alias("spans"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -41,7 +59,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op4_lm_score": op4_lm_score, "op3_token_counts": op3_token_counts, "op5_quality_rules": op5_quality_rules, "op9_packing": op9_packing, "op10_bpe_codec": op10_bpe_codec}
+    return {"op1_simhash": op1_simhash, "op4_lm_score": op4_lm_score, "op3_token_counts": op3_token_counts, "op5_quality_rules": op5_quality_rules, "op6_license_scan": op6_license_scan, "op7_secret_scan": op7_secret_scan, "op9_packing": op9_packing, "op10_bpe_codec": op10_bpe_codec}
 
 
 def oracle_sql() -> dict[str, str]:
