@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, licenses, lm_score, packing, quality, secrets, simhash, token_counts
+from . import bpe_codec, licenses, lm_score, packing, quality, secrets, simhash, token_counts, topk, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -48,6 +52,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -59,8 +67,8 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op4_lm_score": op4_lm_score, "op3_token_counts": op3_token_counts, "op5_quality_rules": op5_quality_rules, "op6_license_scan": op6_license_scan, "op7_secret_scan": op7_secret_scan, "op9_packing": op9_packing, "op10_bpe_codec": op10_bpe_codec}
+    return {"op1_simhash": op1_simhash, "op4_lm_score": op4_lm_score, "op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op5_quality_rules": op5_quality_rules, "op6_license_scan": op6_license_scan, "op7_secret_scan": op7_secret_scan, "op8_topk": op8_topk, "op9_packing": op9_packing, "op10_bpe_codec": op10_bpe_codec}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_topk": topk.ORACLE_SQL}

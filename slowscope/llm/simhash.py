@@ -23,8 +23,10 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import blocks, pairs, written
 from .components import bounded, components
@@ -220,15 +222,42 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return cells.mapInArrow(compare, "u long, v long")
 
 
+def components_of(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """distinct (fp, rep; written) -> fp, root (a fingerprint), component_id (least rep of the component)."""
+    roots = written(components(links(distinct.select("fp"), bucket)).withColumnRenamed("v", "fp"), "roots")
+    least = written(roots.join(distinct, "fp").groupBy("root").agg(F.min("rep").alias("least")), "components")
+    linked = roots.join(bounded(least, least.count()), "root").select("fp", "root", "least")
+    return written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "rep").alias("component_id")), "component-of-fingerprint")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links): one row for each row of docs."""
     prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    roots = written(components(links(distinct, bucket)).withColumnRenamed("v", "fp"), "roots")
-    least = written(roots.join(distinct, "fp").groupBy("root").agg(F.min("rep").alias("least")), "components")
-    linked = roots.join(bounded(least, least.count()), "root").select("fp", "least")
-    of_print = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "component-of-fingerprint")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(components_of(distinct, bucket), "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """The rows of docs but all except one of each component: the one of least id (nulls last) stays."""
+    shape = StructType([*docs.schema.fields, StructField("_fp", LongType()), StructField("_uid", LongType())])
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        n = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            prints = np.array([fingerprint(t.as_py(), words) for t in batch.column(at)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints), pa.array(np.arange(n, n + len(prints)))], [*batch.schema.names, "_fp", "_uid"])
+            n += len(prints)
+
+    rows = written(docs.mapInArrow(run, shape), "fingerprinted")
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col("_uid").alias("uid"))
+    light = rows.select(F.col("_fp").alias("fp"), place.alias("place"))
+    distinct = written(light.groupBy("fp").agg(F.min("place.id").alias("rep"), F.min("place").alias("place")), "distinct-fingerprints")
+    of_print = components_of(distinct.select("fp", "rep"), bucket)
+    first = written(of_print.join(distinct, "fp").groupBy("root").agg(F.min("place").alias("place")).select("root", F.col("place.uid").alias("kept")), "kept")
+    of_print = written(of_print.join(bounded(first, first.count()), "root").select("fp", "kept"), "kept-of-fingerprint")
+    gone = written(light.select("fp", "place.uid").join(of_print, "fp").where("uid != kept").select("uid"), "gone")
+    return rows.join(bounded(gone, gone.count()), rows["_uid"] == gone["uid"], "left_anti").select(*docs.columns)
 
 
 def hex_fingerprint(fp):
