@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import blocks, pairs
+from .common import blocks, pairs, small_batches
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 _SPANS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("byte_ends", pa.list_(pa.int64())), ("char_starts", pa.list_(pa.int64())), ("char_ends", pa.list_(pa.int64()))])
@@ -27,6 +27,7 @@ _SPANS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("byte_ends",
 
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """doc_id, ids: little-endian unsigned 32-bit integers as binary."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         encoder = bpe.ranks_encoder(ranks)
@@ -76,6 +77,7 @@ def offsets(ids: bytes, text: str, table: list[bytes]) -> tuple[list[int], list[
 
 def encode_with_offsets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """encode(), with byte and character offsets of every token."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         encoder, (_, table) = bpe.ranks_encoder(ranks), bpe.ranks_tokenizer(ranks)

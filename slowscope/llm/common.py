@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -52,11 +54,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a record batch: long documents make batches large, in the JVM's direct memory as well as in Python.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """At a task's end: give what the worker doesn't use back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[object, str | None]]:
     """(first column, second column) row by row, without a Python list of a whole batch."""
     for batch in batches:
         for a, b in zip(batch.column(0), batch.column(1), strict=True):
             yield a.as_py(), b.as_py()
+    release()
 
 
 def blocks(rows: Iterable[tuple], schema: pa.Schema, size: Iterable[int] | None = None, n: int = 4096, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:

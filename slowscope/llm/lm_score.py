@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, pairs, written
+from .common import blocks, pairs, small_batches, written
 
 END = b" "  # no word holds a space
 TOP_WORDS = 1 << 18
@@ -312,6 +312,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of docs."""
     import uuid
 
+    small_batches(docs.sparkSession)
     docs = with_fold(docs, id_col, text_col)
     training = docs.where("not held_out")
     counts = written(word_counts(training.select("doc_id", "text")), "word-counts")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import blocks, pairs
+from .common import blocks, pairs, small_batches
 
 WINDOW = 1024
 END_ID = 0
@@ -140,6 +140,7 @@ def pack_rows(docs, ids_of, window: int = WINDOW, end_id: int = END_ID, first_se
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row for each piece, with its ids as little-endian unsigned 32-bit integers."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         first = TaskContext.get().partitionId() << PARTITION_SHIFT

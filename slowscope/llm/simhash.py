@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import blocks, pairs, written
+from .common import blocks, pairs, release, small_batches, written
 from .components import bounded, components
 
 RADIUS = 3
@@ -63,6 +63,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long): one row for each row of docs."""
+    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
@@ -239,6 +240,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bucket: int = BUCKET) -> DataFrame:
     """The rows of docs but all except one of each component: the one of least id (nulls last) stays."""
+    small_batches(docs.sparkSession)
     shape = StructType([*docs.schema.fields, StructField("_fp", LongType()), StructField("_uid", LongType())])
     at = docs.columns.index(text_col)
 
@@ -248,6 +250,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             prints = np.array([fingerprint(t.as_py(), words) for t in batch.column(at)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints), pa.array(np.arange(n, n + len(prints)))], [*batch.schema.names, "_fp", "_uid"])
             n += len(prints)
+        release()
 
     rows = written(docs.mapInArrow(run, shape), "fingerprinted")
     place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col("_uid").alias("uid"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import blocks, pairs
+from .common import blocks, pairs, small_batches
 
 TABLE_ENTRIES = 65_536
 SAMPLE_DOCS = 4_000
@@ -90,6 +90,7 @@ def frequent_chunks(docs: DataFrame, text_col: str, tokenizer: str, entries: int
 
 def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", entries: int = TABLE_ENTRIES, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens: one row for each row of docs."""
+    small_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(frequent_chunks(docs, text_col, tokenizer, entries, sample_docs))
 
     key = uuid.uuid4().hex

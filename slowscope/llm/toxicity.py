@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, written
+from .common import blocks, release, small_batches, written
 
 CATEGORIES = ("low_quality", "toxic")
 SAMPLE = 20_000
@@ -180,6 +180,7 @@ def chain_probabilities(at: list[int], models: list[np.ndarray | None], width: i
 
 def score(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), size: int = SAMPLE) -> DataFrame:
     """The columns `keep`, low_quality and toxic probabilities (p_...), and is_toxic: one row for each row of docs."""
+    small_batches(docs.sparkSession)
     vocabulary, models = fit(docs, labels, size=size)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, models))
     kept = docs.select(F.col(text_col).alias("_text"), *keep)
@@ -196,5 +197,6 @@ def score(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", keep: t
                 found.append(chain_probabilities(at, models, len(vocabulary)))
             columns = [pa.array(list(c), pa.float64()) for c in zip(*found, strict=True)] or [pa.array([], pa.float64())] * len(CATEGORIES)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], *[f"p_{c}" for c in CATEGORIES]])
+        release()
 
     return kept.mapInArrow(run, out).withColumn("is_toxic", F.col("p_toxic") >= THRESHOLD)
