@@ -19,7 +19,7 @@ RECORD = (
     r"(?:(?i:use)\s+(`[^`]+`|[^\s;`]+)\s*;\s*)?SET timestamp\s*=\s*(\d+)(?:\.\d+)?\s*;\s*(.*)$"
 )
 
-HEADER = r"(?s)([^\n]+), Version: ([^\n]+?) started with:\s+(?:Tcp port:\s+(\d*)\s+)?(?:Unix socket: ([^\n]*))?"
+HEADER = r"(?s)(?:^|\n)([^\n]+?), Version: ([^\n]+?) started with:\s+(?:Tcp port:\s+(\d*)\s+)?(?:Unix socket: ([^\n]*))?"
 
 #: Possessive runs: no recursion on long texts.  Comments and quotes may hold semicolons.
 _STATEMENT = r"""(?s)^((?:[^'"`;\\/#-]++|\\.|'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|`[^`]*+`|/\*.*?\*/|--(?=\s)[^\n]*+|#[^\n]*+|[/-])*+;)(.*)$"""
@@ -76,10 +76,15 @@ def statement(body: Column) -> Column:
 
 def after_statement(body: Column) -> Column:
     admin = F.regexp_extract(body, _ADMIN, 2)
-    return F.nullif(F.trim(F.when(body.rlike(_ADMIN), admin).otherwise(F.regexp_extract(without_comment(body), _STATEMENT, 2))), F.lit(""))
+    rest = F.when(body.rlike(_ADMIN), admin).otherwise(F.regexp_extract(without_comment(body), _STATEMENT, 2))
+    return F.nullif(F.btrim(rest, F.lit(" \t\r\n")), F.lit(""))
+
+
+def has_header(text: Column) -> Column:
+    return text.contains(", Version: ") & text.rlike(HEADER)
 
 
 def header(text: Column) -> Column:
     """struct<path, version, tcp_port, socket> of server start lines; null where there are none."""
     part = lambda i: F.nullif(F.regexp_extract(text, HEADER, i), F.lit(""))
-    return F.when(text.rlike(HEADER), F.struct(part(1).alias("path"), part(2).alias("version"), part(3).try_cast("bigint").alias("tcp_port"), part(4).alias("socket")))
+    return F.when(has_header(text), F.struct(part(1).alias("path"), part(2).alias("version"), part(3).try_cast("bigint").alias("tcp_port"), part(4).alias("socket")))

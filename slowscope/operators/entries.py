@@ -48,8 +48,8 @@ def parse(
     own = [c for c in records.columns if c != record]
     text = F.col(record)
     f = lambda name: lines.field(F.col("_f"), name)
-    start = text.rlike(lines.HEADER) & ~text.contains("# User@Host:")
-    df = once(records, _skip=(F.trim(text) == "") | start, _f=lines.fields(text)).where("not _skip")
+    start = lines.has_header(text) & ~text.contains("# User@Host:")
+    df = once(records, _skip=~text.rlike(r"\S") | start, _f=lines.fields(text)).where("not _skip")
     body = f("body")
     admin = lines.admin_command(body)
     df = once(
