@@ -113,3 +113,43 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         F.coalesce("score", F.lit(0.0)).alias("score"),
         "spans",
     )
+
+
+def oracle_sql() -> str:
+    """The query's rows in DuckDB, from the texts: the same votes, diagonals, spans and coverage by joins of words."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    places = ", ".join(f"({quoted(' '.join(p[i : i + K]))}, {quoted(name)}, {quoted(label)}, {i}, {len(p) - K + 1})" for name, (label, text) in TEMPLATES.items() for p in [text.split()] for i in range(len(p) - K + 1))
+    phrases = ", ".join(f"({quoted(p)}, {len(p.split())}, {quoted(label)})" for p, label in PHRASES.items())
+    return f"""
+WITH t(gram, template, label, tpos, n_grams) AS (VALUES {places}),
+ph(phrase, n, label) AS (VALUES {phrases}),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT rid, w, unnest(range(len(w))) AS place FROM d
+), b AS (
+  SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS named
+  FROM i JOIN ph ON array_to_string(w[place + 1 : place + n], ' ') = phrase
+  GROUP BY rid
+), h AS (
+  SELECT rid, template, label, n_grams, tpos, place, place - tpos AS diagonal
+  FROM i JOIN t ON array_to_string(w[place + 1 : place + {K}], ' ') = gram
+), g AS (
+  SELECT rid, template, label, n_grams, diagonal, min(place) AS lo, max(place) AS hi, list(tpos) AS tpos FROM h GROUP BY ALL
+), m AS (
+  SELECT *, lag(diagonal) OVER o AS pd, lag(hi) OVER o AS pl FROM g WINDOW o AS (PARTITION BY rid, template ORDER BY diagonal, lo)
+), s AS (
+  SELECT *, sum(CASE WHEN pd IS NULL OR diagonal - pd > {GAP} OR lo - pl > {REACH} THEN 1 ELSE 0 END) OVER (PARTITION BY rid, template ORDER BY diagonal, lo) AS span FROM m
+), c AS (
+  SELECT rid, label, len(list_distinct(flatten(list(tpos)))) / CAST(n_grams AS DOUBLE) AS coverage FROM s GROUP BY rid, template, label, n_grams, span
+), v AS (
+  SELECT rid, list(DISTINCT label) AS found, max(coverage) AS score FROM c WHERE coverage >= {MIN_COVERAGE} GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(array_to_string(list_sort(named), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(named, []), coalesce(found, [])))), ','), '') AS labels,
+       coalesce(score, 0.0) AS score
+FROM d LEFT JOIN b USING (rid) LEFT JOIN v USING (rid)
+"""

@@ -104,7 +104,7 @@ class Model:
         self.bias = np.log(np.maximum(mass, 1e-6) / mass.sum()).astype(np.float32)
         member = np.full((N_CLASSES, CLASS_WORDS), -30.0, np.float32)
         i = np.arange(self.softmax_words)
-        member[i // CLASS_WORDS, i % CLASS_WORDS] = np.log(counts[: self.softmax_words] / np.maximum(mass[i // CLASS_WORDS], 1e-6))
+        member[i // CLASS_WORDS, i % CLASS_WORDS] = np.log(np.maximum(counts[: self.softmax_words], 1e-6) / np.maximum(mass[i // CLASS_WORDS], 1e-6))
         self.member_bias = member
         self.inside = np.concatenate([np.zeros(N_CLASSES), np.log10(suffix_n + suffix_v + 1)])
         self.w_class = np.zeros((1 << ROW_BITS, self.classes), np.float32)

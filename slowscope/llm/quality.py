@@ -110,7 +110,7 @@ def squared_distance(mean: list[Column], low: dict[tuple[int, int], Column]) ->
 def _estimates(kept: DataFrame) -> DataFrame:
     """grp, m0.., l00..: mean and Cholesky factor of the regularised covariance from exact sums."""
     d = range(len(STATS))
-    df = kept.select("grp", "n", *[(F.col(f"s{i}") / F.col("n")).cast("double").alias(f"m{i}") for i in d], *[F.col(f"s{i}{j}") for i in d for j in range(i + 1)])
+    df = kept.select("grp", "n", *[(F.col(f"s{i}").cast("double") / F.col("n")).alias(f"m{i}") for i in d], *[F.col(f"s{i}{j}") for i in d for j in range(i + 1)])
     df = df.withColumns({f"c{i}{j}": F.lit(CONSISTENCY) * (F.col(f"s{i}{j}").cast("double") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (F.lit((UNIT * FLOORS[i]) ** 2) if i == j else F.lit(0.0)) for i in d for j in range(i + 1)})
     for i in d:
         for j in range(i + 1):
@@ -168,3 +168,58 @@ def assess(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", s
     stats = written(stats, "statistics")
     judged = robust_outliers(stats).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF))
     return judged.select(*[F.col(a).alias(c) for c, a in names.items()], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "d2", "base_failed", "kept")
+
+
+def oracle_sql() -> str:
+    """The query's rows in DuckDB, from the texts, with the same steps."""
+    d = range(len(STATS))
+    pairs = [(i, j) for i in d for j in range(i + 1)]
+
+    def distance(lo: str) -> list[str]:
+        """Columns y0.. of a document joined to estimates; each uses those before it."""
+        out = []
+        for i in d:
+            minus = "".join(f" - {lo}.l{i}{j} * y{j}" for j in range(i))
+            out.append(f"(x{i} - {lo}.m{i}{minus}) / {lo}.l{i}{i} AS y{i}")
+        return out
+
+    def measured(name: str, rows: str, estimates: str) -> str:
+        columns = f"SELECT f.*, e.grp AS eg, {', '.join(f'e.m{i}' for i in d)}, {', '.join(f'e.l{i}{j}' for i, j in pairs)} FROM {rows} f LEFT JOIN {estimates} e USING (grp)"
+        for y in distance("e"):
+            columns = f"SELECT *, {y.replace('e.', '')} FROM ({columns})"
+        return f"{name} AS (SELECT *, {' + '.join(f'y{i} * y{i}' for i in d)} AS d2 FROM ({columns}))"
+
+    def step(k: int) -> list[str]:
+        sums = ", ".join([f"sum(CAST(x{i} AS HUGEINT)) AS s{i}" for i in d] + [f"sum(CAST(x{i} AS HUGEINT) * x{j}) AS s{i}{j}" for i, j in pairs])
+        again = ", ".join([f"sum(s{i}) AS s{i}" for i in d] + [f"sum(s{i}{j}) AS s{i}{j}" for i, j in pairs])
+        cov = f"SELECT grp, n, {', '.join(f'CAST(s{i} AS DOUBLE) / n AS m{i}' for i in d)}, {', '.join(f's{i}{j}' for i, j in pairs)} FROM k{k}"
+        cov = f"SELECT *, {', '.join(f'{CONSISTENCY} * (CAST(s{i}{j} AS DOUBLE) / n - m{i} * m{j}) + {(UNIT * FLOORS[i]) ** 2 if i == j else 0.0} AS c{i}{j}' for i, j in pairs)} FROM ({cov})"
+        for i, j in pairs:
+            rest = f"c{i}{j}" + "".join(f" - l{i}{q} * l{j}{q}" for q in range(j))
+            cov = f"SELECT *, {f'sqrt(greatest({rest}, 1e-9))' if i == j else f'({rest}) / l{j}{j}'} AS l{i}{j} FROM ({cov})"
+        return [
+            measured(f"q{k}", "fit", f"e{k}"),
+            f"b{k} AS (SELECT grp, CAST(floor(log2(d2 + 1) * {BINS}) AS INTEGER) AS bin, count(*) AS n, {sums} FROM q{k} WHERE d2 IS NOT NULL GROUP BY 1, 2)",
+            f"w{k} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY grp ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY grp) AS total FROM b{k})",
+            f"k{k} AS (SELECT grp, sum(n) AS n, {again} FROM w{k} WHERE before < {SUBSET} * total GROUP BY grp)",
+            f"e{k + 1} AS ({cov})",
+        ]
+
+    start = ", ".join([f"quantile_cont(x{i}, 0.5) AS m{i}" for i in d] + [f"CAST({UNIT * FLOORS[i] if i == j else 0.0} AS DOUBLE) AS l{i}{j}" for i, j in pairs])
+    fixed = lambda x: f"CAST(floor({x} * {UNIT} + 0.5) AS BIGINT)"
+    ctes = [
+        "d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents)",
+        f"i AS (SELECT rid, place, array_to_string(w[place + 1 : place + {WINDOW}], ' ') AS gram FROM (SELECT rid, w, unnest(range(len(w) - {WINDOW - 1})) AS place FROM d))",
+        "r AS (SELECT rid, place FROM (SELECT rid, place, count(*) OVER (PARTITION BY rid, gram) AS times FROM i) WHERE times > 1)",
+        f"v AS (SELECT rid, sum(least({WINDOW}, coalesce(ahead - place, {WINDOW}))) AS n FROM (SELECT rid, place, lead(place) OVER (PARTITION BY rid ORDER BY place) AS ahead FROM r) GROUP BY rid)",
+        "a AS (SELECT rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(v.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN v USING (rid))",
+        f"x AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {fixed('ln(greatest(word_chars, 1) / CAST(greatest(n_words, 1) AS DOUBLE))')} AS x0, {fixed('sqrt(n_symbols / CAST(greatest(n_words, 1) AS DOUBLE))')} AS x1, {fixed('(n_dup_lines / CAST(greatest(n_lines, 1) AS DOUBLE))')} AS x2, {fixed('(n_repeat_words / CAST(greatest(n_words, 1) AS DOUBLE))')} AS x3 FROM a)",
+        f"g AS (SELECT lang, source FROM x WHERE NOT base_failed GROUP BY 1, 2 HAVING count(*) >= {MIN_GROUP})",
+        "y AS (SELECT x.*, x.lang || chr(1) || CASE WHEN g.lang IS NULL THEN '' ELSE chr(2) || x.source END AS grp FROM x LEFT JOIN g ON x.lang = g.lang AND x.source = g.source)",
+        "fit AS (SELECT * FROM y WHERE NOT base_failed)",
+        f"e0 AS (SELECT grp, {start} FROM fit GROUP BY grp HAVING count(*) >= {MIN_FIT})",
+    ]
+    for k in range(C_STEPS):
+        ctes += step(k)
+    ctes.append(measured("z", "y", f"e{C_STEPS}"))
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2, 0.0) <= {CUTOFF} AS kept FROM z"

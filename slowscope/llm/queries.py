@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk": topk.ORACLE_SQL}
+    return {"op5_quality_rules": quality.oracle_sql(), "op6_license_scan": licenses.oracle_sql(), "op8_topk": topk.ORACLE_SQL}

@@ -1,0 +1,38 @@
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from slowscope.llm import bpe
+
+
+def test_pipeline_stages(spark, tmp_path):
+    n = 120
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.substring(F.sha2((F.col("id") * 100 + k).cast("string"), 256), 1, (k % 7 + 2).cast("int"))), " ")
+    base = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+    junk = base.where("doc_id < 10").select((F.col("doc_id") + 1000).alias("doc_id"), F.regexp_replace("text", " ", "%% | ").alias("text"))
+    copies = base.where("doc_id < 10").select((F.col("doc_id") + 2000).alias("doc_id"), "text")
+    toxic = base.where("doc_id >= 60 and doc_id < 90").select((F.col("doc_id") + 3000).alias("doc_id"), F.concat(F.reverse("text"), F.lit(" vile fool")).alias("text"))
+    secret = base.where("doc_id = 5").select(F.lit(4000).cast("long").alias("doc_id"), F.concat(F.upper(F.reverse("text")), F.lit(" password=abcdefgh1234 ")).alias("text"))
+    docs = base.union(junk).union(copies).union(toxic).union(secret).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.char_length("text").cast("long")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(60)] + [(i + 3000, 1, 1) for i in range(60, 80)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, kept = left.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = f"{tmp_path}/{name}"
+        stage(spark, left, str(tmp_path)).write.parquet(path)
+        left = spark.read.parquet(path)
+        assert left.columns == columns
+        kept.append({r.doc_id for r in left.select("doc_id").collect()})
+    clean = set(range(n)) | {4000}
+    assert not kept[0] & set(range(1000, 1010)) and clean <= kept[0]
+    assert not kept[1] & set(range(3060, 3090)) and clean <= kept[1]
+    assert kept[2] == kept[3] == clean
+    assert "abcdefgh1234" not in left.where("doc_id = 4000").first().text
+    library = bpe.hf_tokenizer("byte_bpe_50k.json")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) + 1 for r in left.collect()}
+    got: dict[int, int] = {}
+    for r in rows:
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    assert got == want
