@@ -66,7 +66,7 @@ def p13_comment_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f2_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = rendering.records(spark, sf_dir).withColumn("record", F.when(F.col("event_id") % 10 == 0, F.substring("record", 1, 60)).otherwise(F.col("record")))
-    return entries.parse(records).select("event_id", F.col("_corrupt_record").isNotNull().alias("corrupt"), "thread_id")
+    return entries.parse(records).select("event_id", F.col("_corrupt_record").isNotNull().alias("corrupt"), F.coalesce("thread_id", F.lit(-1)).alias("thread_id"))
 
 
 def f5_terminator(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +204,7 @@ def oracle_sql() -> dict[str, str]:
         "p11_set_timestamp": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS set_timestamp FROM events",
         "p12_admin": "SELECT event_id, 'Quit' AS sql FROM events WHERE event_id % 8 = 4",
         "p13_comment_map": "SELECT event_id, unnest(['request_id', 'file', 'method', 'line']) AS key, unnest(['r' || event_id, 'f' || (user_id % 7) || '.rs', 'm()', CAST(event_id % 500 AS VARCHAR)]) AS value FROM events WHERE event_id % 8 = 6",
-        "f2_corrupt": "SELECT event_id, event_id % 10 = 0 AS corrupt, CASE WHEN event_id % 10 <> 0 THEN user_id END AS thread_id FROM events",
+        "f2_corrupt": "SELECT event_id, event_id % 10 = 0 AS corrupt, CASE WHEN event_id % 10 <> 0 THEN user_id ELSE -1 END AS thread_id FROM events",
         "f5_terminator": f"SELECT event_id, {_CANONICAL} || ';' AS statement FROM events WHERE event_id % 8 <> 4",
         "a2_mask": f"SELECT event_id, {_MASKED} AS sql, {_HIDDEN} AS masked_values FROM events WHERE event_id % 8 NOT IN (4, 5)",
         "a3_canonical": f"SELECT event_id, {_CANONICAL} AS sql FROM events WHERE event_id % 8 NOT IN (4, 5)",
