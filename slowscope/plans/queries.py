@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slowscope import workdir
@@ -16,7 +16,9 @@ from slowscope.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MS = F.unix_millis("log_time").alias("log_time_ms")
+
+def _ms() -> Column:
+    return F.unix_millis("log_time").alias("log_time_ms")
 
 
 def _entries(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -37,7 +39,7 @@ def p1_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(spark, sf_dir).select("event_id", _MS, "log_time_offset_minutes")
+    return _entries(spark, sf_dir).select("event_id", _ms(), "log_time_offset_minutes")
 
 
 def p3_session(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,12 +122,12 @@ def g3_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s1_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = slowlog.read_slow_log(spark, _logs(spark, sf_dir))
-    return own.select("user_name", "thread_id", _MS, "rows_sent", "rows_examined", "statement_kind", "sql_type")
+    return own.select("user_name", "thread_id", _ms(), "rows_sent", "rows_examined", "statement_kind", "sql_type")
 
 
 def s1_exact_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = slowlog.read_slow_log(spark, _logs(spark, sf_dir), framing="exact")
-    return own.select("user_name", "thread_id", _MS, "rows_sent", "rows_examined", "statement_kind", "sql_type")
+    return own.select("user_name", "thread_id", _ms(), "rows_sent", "rows_examined", "statement_kind", "sql_type")
 
 
 def s2_memory_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +137,7 @@ def s2_memory_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s3_stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = stream.stream_files(spark, _logs(spark, sf_dir)).select("user_name", "thread_id", _MS, "rows_sent", "rows_examined", "statement_kind", "sql_type")
+    own = stream.stream_files(spark, _logs(spark, sf_dir)).select("user_name", "thread_id", _ms(), "rows_sent", "rows_examined", "statement_kind", "sql_type")
     out, state = workdir.new_path(spark, "stream-out"), workdir.new_path(spark, "stream-state")
     own.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
