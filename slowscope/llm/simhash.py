@@ -241,8 +241,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bucket: int = BUCKET) -> DataFrame:
     """The rows of docs but all except one of each component: the one of least id (nulls last) stays."""
     small_batches(docs.sparkSession)
+    names = docs.columns
+    at, docs = names.index(text_col), docs.toDF(*[f"k{i}" for i in range(len(names))])
+    id_col = f"k{names.index(id_col)}"
     shape = StructType([*docs.schema.fields, StructField("_fp", LongType()), StructField("_uid", LongType())])
-    at = docs.columns.index(text_col)
 
     def run(batches):
         n = TaskContext.get().partitionId() << 36
@@ -260,7 +262,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     first = written(of_print.join(distinct, "fp").groupBy("root").agg(F.min("place").alias("place")).select("root", F.col("place.uid").alias("kept")), "kept")
     of_print = written(of_print.join(bounded(first, first.count()), "root").select("fp", "kept"), "kept-of-fingerprint")
     gone = written(light.select("fp", "place.uid").join(of_print, "fp").where("uid != kept").select("uid"), "gone")
-    return rows.join(bounded(gone, gone.count()), rows["_uid"] == gone["uid"], "left_anti").select(*docs.columns)
+    return rows.join(bounded(gone, gone.count()), rows["_uid"] == gone["uid"], "left_anti").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)])
 
 
 def hex_fingerprint(fp):

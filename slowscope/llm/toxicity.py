@@ -178,13 +178,14 @@ def chain_probabilities(at: list[int], models: list[np.ndarray | None], width: i
     return out
 
 
-def score(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), size: int = SAMPLE) -> DataFrame:
-    """The columns `keep`, low_quality and toxic probabilities (p_...), and is_toxic: one row for each row of docs."""
+def _scored(docs: DataFrame, labels: DataFrame, text_col: str, keep: tuple[str, ...], size: int) -> DataFrame:
+    """The columns `keep` as k0, k1, ..., then p_low_quality and p_toxic."""
     small_batches(docs.sparkSession)
-    vocabulary, models = fit(docs, labels, size=size)
+    vocabulary, models = fit(docs.select(F.col("doc_id"), F.col(text_col).alias("text")), labels, size=size)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, models))
-    kept = docs.select(F.col(text_col).alias("_text"), *keep)
-    out = kept.select(*keep).schema
+    names = [f"k{i}" for i in range(len(keep))]
+    kept = docs.select(F.col(text_col).alias("_text"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
+    out = kept.select(*names).schema
     for c in CATEGORIES:
         out = out.add(f"p_{c}", "double")
 
@@ -199,4 +200,16 @@ def score(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", keep: t
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], *[f"p_{c}" for c in CATEGORIES]])
         release()
 
-    return kept.mapInArrow(run, out).withColumn("is_toxic", F.col("p_toxic") >= THRESHOLD)
+    return kept.mapInArrow(run, out)
+
+
+def score(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), size: int = SAMPLE) -> DataFrame:
+    """The columns `keep`, low_quality and toxic probabilities (p_...), and is_toxic: one row for each row of docs."""
+    scored = _scored(docs, labels, text_col, keep, size)
+    return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[f"p_{c}" for c in CATEGORIES], (F.col("p_toxic") >= THRESHOLD).alias("is_toxic"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", size: int = SAMPLE) -> DataFrame:
+    """The rows of docs that aren't toxic, with all columns, whatever their names."""
+    scored = _scored(docs, labels, text_col, tuple(docs.columns), size).where(F.col("p_toxic") < THRESHOLD)
+    return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
