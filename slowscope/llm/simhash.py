@@ -13,12 +13,20 @@ BUCKET distinct fingerprints is dealt into sub-blocks whose pairs are compared b
 tasks, so no task holds more than two sub-blocks.  Only distinct fingerprints are compared;
 a bucket yields a spanning star of each of its components, never all pairs.
 
+`deduplicate` links by likeness instead: two texts whose sets of five-word shingles have a
+Jaccard similarity of 0.8 or more.  Such pairs differ in about 10 of 64 bits, for which no split
+into blocks gives keys of a useful length, so its tables are keyed by BANDS bands of BAND_ROWS
+min-hashes (a pair at 0.8 shares none of them with probability 3e-5).  In a bucket the fingerprints,
+here of the distinct shingles, are compared by the same planes within WIDE_RADIUS; the pairs left
+are decided by the Jaccard similarity of the whole shingle sets.
+
 Null and empty texts have fingerprint zero and link like any other.  Repeated rows share a
 fingerprint.  A null doc_id stays null and is no candidate for a component's id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -26,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .common import blocks, pairs, release, small_batches, written
 from .components import bounded, components
@@ -34,6 +42,11 @@ from .components import bounded, components
 RADIUS = 3
 BUCKET = 1024
 WIDTHS = (13, 13, 13, 13, 12)
+WORDS = 5
+SIMILARITY = (4, 5)
+WIDE_RADIUS = 24
+BANDS, BAND_ROWS = 20, 4
+CELL = 512
 _CHUNK = 1 << 15
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -85,26 +98,28 @@ def bit_planes(fps: np.ndarray, word: np.ndarray, place: np.ndarray, n_words: in
 def near(planes: np.ndarray, query: np.ndarray, word: np.ndarray, valid: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each job (a query against a word of 64 members): the valid members within the radius, as bits.
 
-    Distances are held as carry-save counters of two bits; what would carry out of them is over.
-    The counters start at 3 - radius, so that for a radius of up to 3 `over` is exactly "too far"."""
+    Distances are held as carry-save counters of as many bits as the radius has; what would carry
+    out of them is over.  The counters start so far below their end that `over` is exactly "too far"."""
     out = np.zeros(len(query), np.uint64)
     job = np.arange(len(query))
-    start = 3 - radius
-    ones = np.full(len(query), _ALL if start & 1 else 0, np.uint64)
-    twos = np.full(len(query), _ALL if start & 2 else 0, np.uint64)
+    bits = max(1, radius.bit_length())
+    start = (1 << bits) - 1 - radius
+    counters = [np.full(len(query), _ALL if start >> k & 1 else 0, np.uint64) for k in range(bits)]
     over = ~valid
     for p in range(64):
-        differs = planes[p][word] ^ (np.uint64(0) - (query >> np.uint64(p) & np.uint64(1)))
-        carry = ones & differs
-        ones ^= differs
-        over |= twos & carry
-        twos ^= carry
+        carry = planes[p][word] ^ (np.uint64(0) - (query >> np.uint64(p) & np.uint64(1)))
+        for c in counters:
+            up = c & carry
+            c ^= carry
+            carry = up
+        over |= carry
         if p % 8 == 7:
             live = over != _ALL
             if not live.any():
                 return out
             if live.mean() < 0.7:  # abandoned blocks are left behind
-                job, query, word, ones, twos, over = (x[live] for x in (job, query, word, ones, twos, over))
+                job, query, word, over = (x[live] for x in (job, query, word, over))
+                counters = [c[live] for c in counters]
     out[job] = ~over
     return out
 
@@ -113,9 +128,24 @@ def stars(fps: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
     """Spanning stars (member, least member) of the link components inside each group of fps.
 
     starts: first row of each group, which has two rows at least."""
+    return [star for a, b, links in _linked(fps, starts, RADIUS) for star in _spread(fps[a:b], links)]
+
+
+def near_pairs(fps: np.ndarray, starts: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, rows): all pairs of rows of one group within the radius, some at a time; groups as in stars."""
+    for a, b, links in _linked(fps, starts, radius):
+        step = max(1, (1 << 22) // (64 * links.shape[1]))
+        for i in range(0, b - a, step):
+            bits = np.unpackbits(links[i : i + step].astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, : b - a]
+            x, y = np.nonzero(bits)
+            x += i
+            yield a + x[x < y], a + y[x < y]
+
+
+def _linked(fps: np.ndarray, starts: np.ndarray, radius: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, end, link bits) of each group that has a link."""
     sizes = np.diff(starts, append=len(fps))
     unsigned = fps.view(np.uint64)
-    found: list[tuple[int, int]] = []
     small = sizes <= 64
     if small.any():
         rows = np.flatnonzero(np.repeat(small, sizes))
@@ -125,17 +155,16 @@ def stars(fps: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
         place = (np.arange(len(rows)) - first[word]).astype(np.uint64)
         mine = unsigned[rows]
         full = _ALL >> (np.uint64(64) - size.astype(np.uint64))
-        links = near(bit_planes(mine, word, place, n), mine, word, full[word] & ~(np.uint64(1) << place))
+        links = near(bit_planes(mine, word, place, n), mine, word, full[word] & ~(np.uint64(1) << place), radius)
         for g in np.unique(word[links != 0]):
-            a, b = first[g], first[g] + size[g]
-            found += _spread(fps[rows[a:b]], links[a:b, None])
+            a, at = int(starts[small][g]), first[g]
+            yield a, a + int(size[g]), links[at : at + size[g], None]
     for g in np.flatnonzero(~small):
-        a, b = starts[g], starts[g] + sizes[g]
-        found += _large(fps[a:b])
-    return found
+        a, b = int(starts[g]), int(starts[g] + sizes[g])
+        yield a, b, _large(fps[a:b], radius)
 
 
-def _large(fps: np.ndarray) -> list[tuple[int, int]]:
+def _large(fps: np.ndarray, radius: int) -> np.ndarray:
     m = len(fps)
     unsigned, at = fps.view(np.uint64), np.arange(m)
     n_words = -(-m // 64)
@@ -148,8 +177,8 @@ def _large(fps: np.ndarray) -> list[tuple[int, int]]:
     step = max(1, 65_536 // n_words)
     for i in range(0, m, step):
         some = unsigned[i : i + step]
-        links[i : i + step] = near(planes, np.repeat(some, n_words), np.tile(np.arange(n_words), len(some)), valid[i : i + step].ravel()).reshape(len(some), n_words)
-    return _spread(fps, links)
+        links[i : i + step] = near(planes, np.repeat(some, n_words), np.tile(np.arange(n_words), len(some)), valid[i : i + step].ravel(), radius).reshape(len(some), n_words)
+    return links
 
 
 def _spread(fps: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
@@ -184,43 +213,60 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(u, v): edges between distinct fingerprints (column fp) that join all that are within the radius."""
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")) for t, mask in enumerate(_masks())])
     keyed = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
+    cells = _cells(keyed, "fp", bucket)
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def compare(batches):
+        for columns, starts in _groups(batches):
+            yield from blocks(stars(columns[0], starts), schema)
+
+    return cells.mapInArrow(compare, "u long, v long")
+
+
+def _cells(keyed: DataFrame, vertex: str, bucket: int) -> DataFrame:
+    """t, key, a, b and the further columns of keyed (t, key, ...), the rows of a cell (t, key, a, b) together.
+
+    Rows of one (t, key) meet in some cell; where over `bucket` share it they are dealt by their vertex."""
     full = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
     full = written(full.select("t", "key", F.ceil(F.col("n") / bucket).cast("int").alias("nb")), "hot-buckets")
+    values = [c for c in keyed.columns if c not in ("t", "key")]
     keyed = keyed.join(bounded(full, full.count()), ["t", "key"], "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
+    own = F.pmod(F.xxhash64(vertex), F.col("nb")).cast("int")
     other = F.when(F.col("nb").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
     cells = keyed.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(other)).where("own != other")
-    cells = cells.select("t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
-    cells = cells.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b")
-
-    def compare(batches):
-        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-        held = [np.empty(0, np.int64)] * 5
-
-        def linked(columns):
-            new = np.zeros(len(columns[0]), bool)
-            new[:1] = True
-            for c in columns[:4]:
-                new[1:] |= c[1:] != c[:-1]
-            first = np.flatnonzero(new)
-            size = np.diff(first, append=len(new))
-            keep = np.repeat(size > 1, size)
-            size = size[size > 1]
-            return stars(columns[4][keep], np.cumsum(size) - size) if len(size) else []
-
-        for batch in batches:
-            columns = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
-            if not len(columns[0]):
-                continue
-            last = np.ones(len(columns[0]), bool)
-            for c in columns[:4]:
-                last &= c == c[-1]
-            cut = int(np.argmax(last))  # rows from here on may go on in the next batch
-            yield from blocks(linked([c[:cut] for c in columns]), schema)
-            held = [c[cut:] for c in columns]
-        yield from blocks(linked(held), schema)
-
-    return cells.mapInArrow(compare, "u long, v long")
+    cells = cells.select("t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *values)
+    return cells.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b")
+
+
+def _groups(batches) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(columns after the four of the cell, first row of each cell), cells of two rows or more."""
+    held: list[np.ndarray] = []
+
+    def grouped(columns):
+        new = np.zeros(len(columns[0]), bool)
+        new[:1] = True
+        for c in columns[:4]:
+            new[1:] |= c[1:] != c[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(first, append=len(new))
+        keep = np.repeat(size > 1, size)
+        size = size[size > 1]
+        if len(size):
+            yield [c[keep] for c in columns[4:]], np.cumsum(size) - size
+
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+        columns = [np.concatenate(both) for both in zip(held, columns, strict=True)] if held else columns
+        if not len(columns[0]):
+            continue
+        last = np.ones(len(columns[0]), bool)
+        for c in columns[:4]:
+            last &= c == c[-1]
+        cut = int(np.argmax(last))  # rows from here on may go on in the next batch
+        yield from grouped([c[:cut] for c in columns])
+        held = [c[cut:] for c in columns]
+    if held:
+        yield from grouped(held)
 
 
 def components_of(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -238,30 +284,148 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(components_of(distinct, bucket), "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """The rows of docs but all except one of each component: the one of least id (nulls last) stays."""
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    import xxhash
+
+    parts = (text or "").encode().lower().split()
+    if not parts:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(parts)
+    if len(parts) < words:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    n = len(parts) - words + 1
+    cut = (joined[a:b] for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(42)), np.uint64, n))
+
+
+_RANDOM = np.random.default_rng(42)
+_XORS = _RANDOM.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64)[:, None]
+_FACTORS = _RANDOM.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64)[:, None] | np.uint64(1)
+
+
+def sketch(shingles: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """A digest of the set, its SimHash (both signed) and a key for each band; no keys for an empty set."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    n = len(shingles)
+    least = np.full(BANDS * BAND_ROWS, _ALL)
+    ones = np.zeros(64, np.int64)
+    for i in range(0, n, 4096):
+        some = shingles[i : i + 4096]
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        np.minimum(least, ((some ^ _XORS) * _FACTORS).min(axis=1), out=least)
+    bands = [signed(xxhash.xxh64_intdigest(b.tobytes())) for b in least.reshape(BANDS, BAND_ROWS)] if n else []
+    return signed(xxhash.xxh64_intdigest(shingles.tobytes(), 1)), int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0]), np.array(bands, np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have at least the Jaccard similarity SIMILARITY."""
+    over, under = SIMILARITY
+    if under * min(len(a), len(b)) < over * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return under * both >= over * (len(a) + len(b) - both)
+
+
+def candidates(distinct: DataFrame, bucket: int = BUCKET, radius: int = WIDE_RADIUS) -> DataFrame:
+    """v, fp, n, bands -> (u, v): pairs that share a band, lie within the radius and are near enough in size."""
+    keyed = distinct.select("v", "fp", "n", F.posexplode("bands").alias("t", "key")).select("t", "key", "v", "fp", "n")
+    cells = _cells(keyed, "v", bucket)
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    over, under = SIMILARITY
+
+    def compare(batches):
+        for (v, fp, n), starts in _groups(batches):
+            for x, y in near_pairs(fp, starts, radius):
+                sized = under * np.minimum(n[x], n[y]) >= over * np.maximum(n[x], n[y])
+                x, y = v[x[sized]], v[y[sized]]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
+
+    return cells.mapInArrow(compare, "u long, v long").distinct()
+
+
+def alike_edges(found: DataFrame, sets: DataFrame, groups: DataFrame, cell: int = CELL) -> DataFrame:
+    """(u, v): edges between alike sets that join all candidates (u, v) which are alike by their whole sets.
+
+    groups (v, root): components of the candidates.  The sets (v, shingles) of a component travel once
+    to the task that decides its candidates, where pairs joined already are passed over; a component of
+    more than `cell` sets is dealt into blocks whose pairs are decided by different tasks."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    sizes = written(groups.groupBy("root").agg(F.ceil(F.count("*") / cell).cast("int").alias("nb")), "candidate-groups")
+    sized = groups.join(bounded(sizes, sizes.count()), "root")
+    dealt = written(sized.select("v", "root", "nb", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int").alias("own")), "dealt-sets")
+    n = dealt.count()
+    of_u = bounded(dealt.select(F.col("v").alias("u"), "root", F.col("own").alias("x")), n)
+    of_v = bounded(dealt.select("v", F.col("own").alias("y")), n)
+    asked = found.join(of_u, "u").join(of_v, "v").select("root", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "u", "v")
+    held = sets.join(bounded(dealt, n), "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    held = held.select(F.col("root").alias("root_"), F.least("own", "other").alias("a_"), F.greatest("own", "other").alias("b_"), "v", "shingles")
+
+    def decide(asked: pa.Table, held: pa.Table) -> pa.Table:
+        at = {v: k for k, v in enumerate(held["v"].to_pylist())}
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in held["shingles"]]
+        top = list(range(len(own)))
+
+        def root(k):
+            while top[k] != k:
+                top[k] = top[top[k]]
+                k = top[k]
+            return k
+
+        us, vs = [], []
+        for u, v in zip(asked["u"].to_pylist(), asked["v"].to_pylist(), strict=True):
+            x, y = root(at[u]), root(at[v])
+            if x != y and alike(own[at[u]], own[at[v]]):
+                top[y] = x
+                us.append(u)
+                vs.append(v)
+        return pa.table([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=schema)
+
+    return asked.groupBy("root", "a", "b").cogroup(held.groupBy("root_", "a_", "b_")).applyInArrow(decide, "u long, v long")
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bucket: int = BUCKET, cell: int = CELL) -> DataFrame:
+    """The rows of docs but all except one of each component of alike texts: the one of least id (nulls last) stays."""
     small_batches(docs.sparkSession)
     names = docs.columns
     at, docs = names.index(text_col), docs.toDF(*[f"k{i}" for i in range(len(names))])
     id_col = f"k{names.index(id_col)}"
-    shape = StructType([*docs.schema.fields, StructField("_fp", LongType()), StructField("_uid", LongType())])
+    more = [StructField("_v", LongType()), StructField("_fp", LongType()), StructField("_n", IntegerType()), StructField("_bands", ArrayType(LongType())), StructField("_uid", LongType())]
+    shape = StructType([*docs.schema.fields, *more])
 
     def run(batches):
         n = TaskContext.get().partitionId() << 36
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py(), words) for t in batch.column(at)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints), pa.array(np.arange(n, n + len(prints)))], [*batch.schema.names, "_fp", "_uid"])
-            n += len(prints)
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(at)]
+            v, fp, bands = zip(*map(sketch, sets), strict=True) if sets else ((), (), ())
+            own = [pa.array(v, pa.int64()), pa.array(fp, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(np.arange(n, n + len(sets)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, "_v", "_fp", "_n", "_bands", "_uid"])
+            n += len(sets)
         release()
 
     rows = written(docs.mapInArrow(run, shape), "fingerprinted")
     place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col("_uid").alias("uid"))
-    light = rows.select(F.col("_fp").alias("fp"), place.alias("place"))
-    distinct = written(light.groupBy("fp").agg(F.min("place.id").alias("rep"), F.min("place").alias("place")), "distinct-fingerprints")
-    of_print = components_of(distinct.select("fp", "rep"), bucket)
-    first = written(of_print.join(distinct, "fp").groupBy("root").agg(F.min("place").alias("place")).select("root", F.col("place.uid").alias("kept")), "kept")
-    of_print = written(of_print.join(bounded(first, first.count()), "root").select("fp", "kept"), "kept-of-fingerprint")
-    gone = written(light.select("fp", "place.uid").join(of_print, "fp").where("uid != kept").select("uid"), "gone")
+    light = rows.select(F.col("_v").alias("v"), place.alias("place"))
+    firsts = rows.groupBy(F.col("_v").alias("v")).agg(F.min(place).alias("place"), *[F.first(f"_{c}").alias(c) for c in ("fp", "n", "bands")])
+    distinct = written(firsts, "distinct-sets")
+    found = written(candidates(distinct, bucket), "candidates")
+    groups = written(components(found), "candidate-components").select("v", "root")
+    touched = written(groups.join(distinct, "v").select("v", F.col("place.uid").alias("uid")), "touched")
+    texts = rows.join(bounded(touched, touched.count()), rows["_uid"] == touched["uid"]).select("v", F.col(f"k{names.index(text_col)}").alias("text"))
+    schema = pa.schema([("v", pa.int64()), ("shingles", pa.binary())])
+    sets = written(texts.mapInArrow(lambda batches: blocks(((v, shingle_set(t, words).tobytes()) for v, t in pairs(batches)), schema), "v long, shingles binary"), "shingle-sets")
+    edges = written(alike_edges(found, sets, groups, cell), "alike")
+    roots = written(components(edges), "roots").select("v", "root")
+    of_set = written(distinct.select("v", "place").join(bounded(roots, roots.count()), "v", "left").select("v", "place", F.coalesce("root", "v").alias("root")), "root-of-set")
+    first = written(of_set.groupBy("root").agg(F.min("place").alias("place")).select("root", F.col("place.uid").alias("kept")), "kept")
+    of_set = written(of_set.join(bounded(first, first.count()), "root").select("v", "kept"), "kept-of-set")
+    gone = written(light.select("v", "place.uid").join(of_set, "v").where("uid != kept").select("uid"), "gone")
     return rows.join(bounded(gone, gone.count()), rows["_uid"] == gone["uid"], "left_anti").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)])
 
 
