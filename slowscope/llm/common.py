@@ -54,18 +54,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a record batch: long documents make batches large, in the JVM's direct memory as well as in Python.
-BATCH_ROWS = 512
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches, unless they are smaller already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if not 0 < now <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def release() -> None:
     """At a task's end: give what the worker doesn't use back to the system."""
     gc.collect()

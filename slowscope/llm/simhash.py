@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import blocks, pairs, release, small_batches, written
+from .common import blocks, pairs, release, written
 from .components import bounded, components
 
 RADIUS = 3
@@ -76,7 +76,6 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long): one row for each row of docs."""
-    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
@@ -392,7 +391,6 @@ def alike_edges(found: DataFrame, sets: DataFrame, groups: DataFrame, cell: int
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bucket: int = BUCKET, cell: int = CELL) -> DataFrame:
     """The rows of docs but all except one of each component of alike texts: the one of least id (nulls last) stays."""
-    small_batches(docs.sparkSession)
     names = docs.columns
     at, docs = names.index(text_col), docs.toDF(*[f"k{i}" for i in range(len(names))])
     id_col = f"k{names.index(id_col)}"

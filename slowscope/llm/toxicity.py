@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, release, small_batches, written
+from .common import blocks, release, written
 
 CATEGORIES = ("low_quality", "toxic")
 SAMPLE = 20_000
@@ -180,7 +180,6 @@ def chain_probabilities(at: list[int], models: list[np.ndarray | None], width: i
 
 def _scored(docs: DataFrame, labels: DataFrame, text_col: str, keep: tuple[str, ...], size: int) -> DataFrame:
     """The columns `keep` as k0, k1, ..., then p_low_quality and p_toxic."""
-    small_batches(docs.sparkSession)
     vocabulary, models = fit(docs.select(F.col("doc_id"), F.col(text_col).alias("text")), labels, size=size)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, models))
     names = [f"k{i}" for i in range(len(keep))]

@@ -9,6 +9,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.test_units import brute_score
+
 from slowscope.llm import bpe, bpe_codec, components, licenses, lm_score, packing, quality, secrets, simhash, token_counts, topk, toxicity
 
 NEAR = "one two three four five six seven eight nine ten eleven twelve " * 30
@@ -89,7 +91,10 @@ def test_components(spark):
     assert len({got[i] for i in range(51)}) == 1 and got[100] == got[101] and got[200] == got[300] and len(set(got.values())) == 3
 
 
-def test_language_model(docs, none):
+@pytest.mark.parametrize("top", [None, 4, 0])
+def test_language_model(docs, none, top, monkeypatch):
+    if top is not None:  # most words, and the end token by its count, lie outside the table
+        monkeypatch.setattr(lm_score, "TOP_WORDS", top)
     got = lm_score.lm_scores(docs).collect()
     words = lambda t: re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower()) + [b" "]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2 if i is not None else False
@@ -101,6 +106,25 @@ def test_language_model(docs, none):
     assert rows(lm_score.lm_scores(none)) == []
 
 
+def test_language_model_scores_equal_its_own_brute_force(docs):
+    """score: the trained weights over the tree by plain loops, and the words' counts inside the suffix classes."""
+    own = lm_score.with_fold(docs, "doc_id", "text")
+    model, _, _ = lm_score.fit(own.coalesce(1))
+    lookup = model.lookup()
+    seen = Counter(w for i, t, *_ in DOCS if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in lm_score.words_of(t))
+    want = []
+    for i, t, *_ in DOCS:
+        words = lm_score.words_of(t)
+        if len(words) > 500:
+            continue
+        ids = [lookup[w] for w in words] + [lookup[lm_score.END]]
+        extra = sum(math.log10(seen[w] + 1) for w, k in zip(words, ids) if k >= model.table)
+        want.append((str(i), round(sum(brute_score(model, ids)) + extra, 2)))
+    got = [(str(r.doc_id), round(r.score, 2), r.n_tokens) for r in lm_score.lm_scores(docs.coalesce(1)).collect()]
+    got = [g for g in got if g[2] <= 501]
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 0.02 for a, b in zip(sorted(want), sorted(g[:2] for g in got), strict=True))
+
+
 def test_quality(docs, none):
     got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.assess(docs, keep=("doc_id", "spans")).collect()}
     want = set()

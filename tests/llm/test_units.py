@@ -151,32 +151,91 @@ def test_exact_search():
         assert [(-s, j) for q, j, s in got if q == ids[i]] == want
 
 
-def test_language_model_is_a_distribution():
-    counts = {b"the": 50, b"of": 30, b" ": 20, b"rare": 3, b"other": 2}
-    words = sorted(counts, key=lambda w: -counts[w])
+def small_model(counts, outside=()):
+    """A model with random weights over the words of counts; outside: words beside its table."""
+    words = sorted(counts, key=lambda w: (-counts[w], w))
     n, v = np.zeros(lm_score.SUFFIX_CLASSES), np.zeros(lm_score.SUFFIX_CLASSES)
-    rng = np.random.default_rng(0)
-    model = lm_score.Model(words, np.array([counts[w] for w in words], float), 105, 5, n, v)
-    model.w_class = rng.normal(size=model.w_class.shape).astype(np.float32)
-    model.w_word = rng.normal(size=model.w_word.shape).astype(np.float32)
+    for w, c in outside:
+        n[lm_score.suffix_class(w)] += c
+        v[lm_score.suffix_class(w)] += 1
+    total = sum(counts.values()) + int(n.sum())
+    model = lm_score.Model(words, np.array([counts[w] for w in words], float), total, len(words) + len(outside), n, v)
+    model.weights = np.random.default_rng(0).normal(size=model.weights.shape).astype(np.float32)
+    return model
+
+
+def brute_score(model, ids):
+    """log10 probabilities by plain loops over the tree."""
+    out = []
+    for t, own in enumerate(ids):
+        b1 = ids[t - 1] if t else model.start
+        b2 = ids[t - 2] if t > 1 else model.start
+        row = lambda k, a, b=0: int(model.rows(k, np.array([a]), np.array([b]))[0])
+        places = range(model.path_start[own], model.path_start[own + 1])
+        decisions = [(0, int(model.root_branch[own]), [row(1, b1), row(2, b2), row(3, b1, b2)])]
+        decisions += [(int(model.path_node[p]), int(model.path_branch[p]), [row(4, b1, int(model.path_node[p]))]) for p in places]
+        total = 0.0
+        for node, branch, rows in decisions:
+            scores = [float(model.bias[node, j]) + sum(float(model.weights[r, j]) for r in rows) for j in range(lm_score.WIDTH)]
+            total += scores[branch] - np.log(sum(np.exp(scores)))
+        out.append(total / np.log(10) - model.inside[own])
+    return out
+
+
+@pytest.mark.parametrize("n_words", [1, 2, 16, 17, 500])
+def test_language_model_is_a_distribution_and_equals_brute_force(n_words):
+    counts = {b"w%d" % i: 1000 // (i + 1) for i in range(n_words)} | {b" ": 50}
+    model = small_model(counts, [(b"rare", 3), (b"other", 1)])
     total = 0.0
-    for last in [*range(5), *range(-lm_score.SUFFIX_CLASSES, 0)]:  # each known word, and the unseen word of each suffix class
-        ids = np.array([0, 1, last])
-        total += 10 ** lm_score.token_scores(model, ids, np.array([3]), 2)[2]
+    for last in range(model.start):  # each word of the table, and each suffix class
+        ids = np.array([0, 1 % model.table, last])
+        inside = 10 ** model.inside[last]  # n + v + 1 places of a suffix class share its probability
+        total += inside * 10 ** lm_score.token_scores(model, ids, np.array([0]))[2]
     assert abs(total - 1) < 1e-4
+    ids = np.random.default_rng(1).integers(0, model.start, 40)
+    got = lm_score.token_scores(model, np.concatenate([ids, ids[:9]]), np.array([0, 40]))
+    assert np.allclose(got, brute_score(model, ids.tolist()) + brute_score(model, ids[:9].tolist()), atol=1e-4)
+
+
+def test_zero_weights_give_unigrams():
+    model = small_model({b"a": 7, b"b": 3, b" ": 2})
+    model.weights[:] = 0
+    ids = np.array([0, 1, 2, 3])
+    want = [np.log10(c / (12 + 3 + lm_score.SUFFIX_CLASSES)) for c in (8, 4, 3, 1)]
+    assert np.allclose(lm_score.token_scores(model, ids, np.array([0])), want, atol=1e-5)
+
+
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(2)
+    w = rng.normal(size=(8, lm_score.WIDTH))
+    bias, rows, branch = rng.normal(size=(5, lm_score.WIDTH)), (rng.integers(0, 8, 5), rng.integers(0, 8, 5)), rng.integers(0, lm_score.WIDTH, 5)
+    g = lm_score._softmax(w, rows, bias, branch, True)[1]
+    by_row = np.zeros_like(w)
+    for r in rows:
+        np.add.at(by_row, r, g)
+    for r, j in ((0, 0), (3, 5), (7, 15)):
+        up, down = w.copy(), w.copy()
+        up[r, j] += 1e-5
+        down[r, j] -= 1e-5
+        slope = -(lm_score._softmax(up, rows, bias, branch, False)[0].sum() - lm_score._softmax(down, rows, bias, branch, False)[0].sum()) / 2e-5
+        assert abs(slope - by_row[r, j]) < 1e-4
+    # one step moves each touched row against its summed gradient
+    w32, squares, uses = w.astype(np.float32), np.zeros(8, np.float32), np.zeros(8, np.int64)
+    before = w32.copy()
+    lm_score._step(w32, squares, uses, rows, g.astype(np.float32))
+    assert uses.sum() == 10 and np.allclose(squares, (by_row**2).mean(axis=1), rtol=1e-4)
+    assert np.allclose(w32, before - lm_score.LEARNING_RATE * by_row / np.sqrt(squares + 1e-3)[:, None], atol=1e-5)
 
 
 def test_training_beats_unigrams():
-    text = " ".join(["red fox", "blue sea"][i % 2] for i in range(4000))
-    words = [b"red", b"fox", b"blue", b"sea", b" "]
-    z = np.zeros(lm_score.SUFFIX_CLASSES)
-    model = lm_score.Model(words, np.array([2000, 2000, 2000, 2000, 1], float), 8001, 5, z, z)
-    d1, _, d2, _ = lm_score.local_steps(model, iter([(1, text)] * 10))
-    ids = np.array([0, 1, 2, 3] * 50)
-    before = lm_score.token_scores(model, ids, np.array([200]), 4).sum()
-    model.w_class += d1
-    model.w_word += d2
-    assert lm_score.token_scores(model, ids, np.array([200]), 4).sum() > before / 4
+    model = small_model({b"red": 2000, b"fox": 2000, b"blue": 2000, b"sea": 2000, b" ": 1})
+    model.weights[:] = 0
+    end = model.lookup()[b" "]
+    own = [model.lookup()[w] for w in (b"red", b"fox", b"blue", b"sea")]
+    text = np.array(own * 1000 + [end])
+    before = lm_score.token_scores(model, text, np.array([0])).sum()
+    model.weights += lm_score.local_steps(model, [text] * 10)[0]
+    assert lm_score.token_scores(model, text, np.array([0])).sum() > before / 4
 
 
 def test_chain_on_held_out_rows():
