@@ -72,8 +72,59 @@ def f2_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f5_terminator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.concat(lines.field(lines.fields(F.col("record")), "body"), F.lit("\nleft over"))
-    return rendering.records(spark, sf_dir).select("event_id", F.trim(lines.statement(lines.without_comment(body))).alias("statement")).where("event_id % 8 <> 4")
+    """Of every record that holds no administrator command."""
+    found = entries.once(rendering.records(spark, sf_dir), body=lines.field(lines.fields(F.col("record")), "body")).where(lines.admin_command(F.col("body")).isNull())
+    body = F.concat("body", F.lit("\nleft over"))
+    return found.select("event_id", F.trim(lines.statement(lines.without_comment(body))).alias("statement"))
+
+
+def _varied(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return entries.parse(rendering.varied(spark, sf_dir), **options)
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered records, five of ten broken, each in its way."""
+    way, record = F.pmod(F.col("event_id"), F.lit(10)), F.col("whole")
+    bad = F.when(way == 0, F.regexp_replace(record, "^# Time: ....", "# Time: then")).when(way == 1, F.regexp_replace(record, r"\[app\]", "app")).when(way == 2, F.replace(record, F.lit("Lock_time"), F.lit("Lock")))
+    bad = bad.when(way == 3, F.substring_index(record, "SET timestamp", 1)).when(way == 4, F.concat(F.substring_index(record, "SET timestamp", 1), F.lit("SET timestamp=1;\nSELECT 'open"))).otherwise(record)
+    return entries.once(rendering.records(spark, sf_dir), whole=F.col("record")).select("event_id", bad.alias("record"))
+
+
+def p2_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _varied(spark, sf_dir).select("event_id", F.unix_seconds("log_time").alias("log_time_s"), F.coalesce("log_time_offset_minutes", F.lit(-9999)).alias("offset_minutes"))
+
+
+def p3_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _varied(spark, sf_dir).select("event_id", "user_name", "sys_user_name", F.coalesce("host_name", F.lit("none")).alias("host_name"), F.coalesce("ip_address", F.lit("none")).alias("ip_address"), "thread_id")
+
+
+def p9_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _varied(spark, sf_dir).select("event_id", "query_time", F.coalesce("extra", F.lit("none")).alias("extra"), "set_timestamp", F.coalesce("use_database", F.lit("none")).alias("use_database"))
+
+
+def p12_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Administrator commands of two words, as a strict reader takes them."""
+    records = rendering.records(spark, sf_dir).withColumn("record", F.replace("record", F.lit("command: Quit;"), F.lit("command: Init DB;")))
+    return entries.parse(records, compat=True).where("sql_type is null").select("event_id", "statement_kind", "sql")
+
+
+def f2_dropmalformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.parse(_broken(spark, sf_dir), mode="DROPMALFORMED").select("event_id", "thread_id")
+
+
+def f2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.parse(_broken(spark, sf_dir)).where("_corrupt_record is not null").select("event_id", F.col("_corrupt_reason").alias("reason"))
+
+
+def f2_failfast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entries of whole logs, and whether a broken record ends the read."""
+    read = lambda records: entries.parse(records, mode="FAILFAST").count()
+    n, ended = read(rendering.records(spark, sf_dir)), False
+    try:
+        read(_broken(spark, sf_dir))
+    except Exception as e:  # noqa: BLE001  Spark wraps the error by where it was raised
+        ended = "malformed log record" in str(e)
+    return spark.createDataFrame([(n, ended)], "n bigint, ended boolean")
 
 
 def a2_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +144,16 @@ def a5_sql_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(spark, sf_dir).select("event_id", "sql_type")
 
 
+def a5_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _varied(spark, sf_dir).select("event_id", "statement_kind", "sql_type")
+
+
+def a6_bare_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names without backticks, of the queries among the statements."""
+    own = _varied(spark, sf_dir, strip_identifier_quotes=True).where("sql_type in ('INSERT', 'UPDATE', 'DELETE')")
+    return own.select("event_id", F.explode("objects").alias("o")).select("event_id", "o.object_name")
+
+
 def a6_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(spark, sf_dir).select("event_id", F.posexplode("objects").alias("place", "o")).select("event_id", "place", "o.schema_name", "o.object_name")
 
@@ -143,6 +204,27 @@ def s3_stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def _grow(source: str, target: str, share: float) -> None:
+    """Leaves the first part of each log in the target folder, as a server would at some time."""
+    for path, size in slowlog.files(source):
+        store, inner, _ = slowlog.store(path)
+        folder = slowlog.store(target)[1]
+        store.create_dir(folder)
+        with store.open_input_stream(inner) as a, store.open_output_stream(f"{folder}/{inner.rsplit('/', 1)[-1]}") as b:
+            b.write(a.read(int(size * share)))
+
+
+def s3_tail_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs that grow: the first half of their bytes, then the rest, in two batches."""
+    own, grows = _logs(spark, sf_dir), workdir.new_path(spark, "grows")
+    out, state = workdir.new_path(spark, "stream-out"), workdir.new_path(spark, "stream-state")
+    for share in (0.5, 1.0):
+        _grow(own, grows, share)
+        found = stream.stream_tail(spark, grows).select("user_name", "thread_id", _ms(), "rows_sent", "rows_examined", "statement_kind", "sql_type")
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 def x1_top_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A top-k report: the limit is the feature."""
     own = analytics.top_fingerprints(_entries(spark, sf_dir, masking="placeholder"), 10)
@@ -159,8 +241,9 @@ def x3_windowed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = [
-        p1_headers, p2_time, p3_session, p9_stats, p10_use_db, p11_set_timestamp, p12_admin, p13_comment_map, f2_corrupt, f5_terminator, a2_mask, a3_canonical, a4_kind, a5_sql_type,
-        a6_objects, a7_full_name, a8_context, g1_type_counts, g2_count, g3_observed, s1_file_roundtrip, s1_exact_framing, s2_memory_log, s3_stream_roundtrip, x1_top_fingerprints, x2_table_load, x3_windowed_load,
+        p1_headers, p2_time, p2_offsets, p3_session, p3_hosts, p9_stats, p9_extra, p10_use_db, p11_set_timestamp, p12_admin, p12_compat, p13_comment_map, f2_corrupt, f2_dropmalformed, f2_reasons, f2_failfast, f5_terminator,
+        a2_mask, a3_canonical, a4_kind, a5_sql_type, a5_labels, a6_bare_names,
+        a6_objects, a7_full_name, a8_context, g1_type_counts, g2_count, g3_observed, s1_file_roundtrip, s1_exact_framing, s2_memory_log, s3_stream_roundtrip, s3_tail_roundtrip, x1_top_fingerprints, x2_table_load, x3_windowed_load,
     ]
     return {f.__name__: f for f in own}
 
@@ -196,8 +279,30 @@ _OBJECTS = """(
   UNION ALL SELECT event_id, 1, 'other', 'film', event_id % 1000 FROM events WHERE event_id % 8 = 6)"""
 
 
-def oracle_sql() -> dict[str, str]:
+def _turn(values: list[str | None]) -> str:
+    """SQL of the value of each event: by its id, in turn."""
+    quoted = ["NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values]
+    return f"([{', '.join(quoted)}])[event_id % {len(values)} + 1]"
+
+
+def _varied_sql() -> dict[str, str]:
+    session = lambda i, empty: f"coalesce(nullif({_turn([s[i] for s in rendering.SESSIONS])}, ''), '{empty}')"
+    changed = _turn([label if label in ("INSERT", "UPDATE", "DELETE") else None for _, label in rendering.STATEMENTS])
     return {
+        "p2_offsets": f"SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS log_time_s, coalesce(CAST({_turn([None if m is None else str(m) for _, m in rendering.OFFSETS])} AS INTEGER), -9999) AS offset_minutes FROM events",
+        "p3_hosts": f"SELECT event_id, {session(0, '')} AS user_name, {session(1, '')} AS sys_user_name, {session(2, 'none')} AS host_name, {session(3, 'none')} AS ip_address, user_id AS thread_id FROM events",
+        "p9_extra": f"SELECT event_id, {_TIME} AS query_time, CASE WHEN event_id % 3 = 0 THEN 'Thread_id: ' || user_id || '  Errno: 0' ELSE 'none' END AS extra, CAST(floor(epoch(ts)) AS BIGINT) AS set_timestamp, {_turn(['shop', 'my shop', 'none', 's2'])} AS use_database FROM events",
+        "p12_compat": "SELECT event_id, 'invalid' AS statement_kind, CASE event_id % 8 WHEN 4 THEN ' DB;' ELSE '/*!40101 SET NAMES utf8 */;' END AS sql FROM events WHERE event_id % 8 IN (4, 5)",
+        "f2_dropmalformed": "SELECT event_id, user_id AS thread_id FROM events WHERE event_id % 10 > 4",
+        "f2_reasons": "SELECT event_id, (['time', 'user', 'stats', 'incomplete log', 'incomplete sql'])[event_id % 10 + 1] AS reason FROM events WHERE event_id % 10 < 5",
+        "f2_failfast": "SELECT count(*) AS n, true AS ended FROM events",
+        "a5_labels": f"SELECT event_id, 'sql' AS statement_kind, {_turn([label for _, label in rendering.STATEMENTS])} AS sql_type FROM events",
+        "a6_bare_names": f"SELECT event_id, event_type AS object_name FROM events WHERE {changed} IS NOT NULL",
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return _varied_sql() | {
         "p1_headers": "SELECT event_id, '/usr/sbin/mysqld' AS path, '5.7.' || event_id || '-log (MySQL).' AS version, event_id % 65536 AS tcp_port, '/tmp/mysql.sock' AS socket FROM events WHERE event_id % 10 = 0",
         "p2_time": "SELECT event_id, epoch_us(ts) // 1000 AS log_time_ms, CAST(0 AS INTEGER) AS log_time_offset_minutes FROM events",
         "p3_session": "SELECT event_id, event_type AS user_name, 'app' AS sys_user_name, CASE WHEN event_id % 3 <> 0 THEN 'localhost' END AS host_name, CASE WHEN event_id % 2 <> 0 THEN '10.0.0.' || (user_id % 256) END AS ip_address, user_id AS thread_id FROM events",
@@ -222,6 +327,7 @@ def oracle_sql() -> dict[str, str]:
         "s1_exact_framing": _ROWS,
         "s2_memory_log": f"SELECT event_id // 8 AS log_id, CAST(row_number() OVER (PARTITION BY event_id // 8 ORDER BY event_id) - 1 AS INTEGER) AS record_id, user_id AS thread_id, {_KIND} AS statement_kind FROM events",
         "s3_stream_roundtrip": _ROWS,
+        "s3_tail_roundtrip": _ROWS,
         "x1_top_fingerprints": f"SELECT sql, count(*) AS calls, round(sum(t), 3) AS total_time, max(t) AS max_time FROM (SELECT {_MASKED} AS sql, {_TIME} AS t FROM events WHERE event_id % 8 NOT IN (4, 5)) GROUP BY sql ORDER BY sum(t) DESC, sql LIMIT 10",
         "x2_table_load": f"SELECT concat_ws('.', schema_name, object_name) AS full_object_name, count(*) AS calls, CAST(sum(rows_examined) AS BIGINT) AS rows_examined FROM {_OBJECTS} GROUP BY 1",
         "x3_windowed_load": f"SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start_s, count(*) AS calls, max({_TIME}) AS max_time FROM events GROUP BY 1",

@@ -8,7 +8,7 @@ ENTRY_SCHEMA = (
     "query_time double, lock_time double, rows_sent bigint, rows_examined bigint, extra string, use_database string, "
     "sql string, statement_kind string, sql_type string, objects array<struct<schema_name:string,object_name:string>>, "
     "context struct<request_id:string,caller:string,function:string,line:bigint>, comment_map map<string,string>, "
-    "masked_values array<string>, _trailing string, _corrupt_record string"
+    "masked_values array<string>, _trailing string, _corrupt_record string, _corrupt_reason string"
 )
 
 ANALYSIS_SCHEMA = "valid boolean, sql string, sql_type string, objects array<struct<schema_name:string,object_name:string>>, masked_values array<string>"

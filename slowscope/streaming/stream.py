@@ -16,7 +16,7 @@ def stream_files(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def stream_tail(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Entries of logs that grow, each once its last byte is there."""
+    """Entries of logs that grow, each once its statement has ended."""
     slowlog.register(spark)
     return entries.parse(spark.readStream.format("slowlog").option("path", path).load(), **options)
 
