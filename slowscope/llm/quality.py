@@ -5,17 +5,25 @@ All of it is DataFrame functions; nothing runs in Python on the executors.
 Statistics of a text are computed inside its row: windows of eight words are compared by
 hashes of hashes, and only a text that holds two equal ones is sorted for their places.
 
-Outliers: per language and source, the minimum covariance determinant (with the floors FLOORS
-added to the variances, so that a statistic that hardly varies rejects nothing by itself).
-Transformed statistics are rounded to thousandths, so sums are exact integers and don't
-depend on the order of rows.  Starting from the coordinates' medians, C_STEPS concentration
-steps keep the SUBSET share of least distances; each is one aggregation by group and binned
-distance, whose size has a bound per group.  Sources with fewer than MIN_GROUP documents of a
-language are pooled by language; a pool under MIN_FIT documents rejects nothing.  Only documents that pass
-the base rules are fitted or rejected; a document is rejected if its squared distance exceeds CUTOFF.
-
-Null text has no words and fails the base rules.  Null language or source counts as ''.
-Repeated rows each count.  Further columns are kept or ignored as asked.
+Outliers: per language and source, the minimum covariance determinant.  STARTS first guesses (about
+the medians, the quartiles and the mean, with scales of their own) each take C_STEPS concentration
+steps, which keep the SUBSET share of least distances; the guess whose covariance has the least
+determinant is kept and takes LAST_STEPS more.  Each step is one aggregation by group, guess and
+binned distance, whose size has a bound per group.  Transformed statistics are rounded to thousandths,
+so sums are exact integers and don't depend on the order of rows.  FLOORS are added to the variances,
+scaled to what a statistic can attain, so that one that hardly varies in a group rejects only what
+lies sqrt(CUTOFF) floors off: mean word length 1.9 times or half the group's, half of all lines
+repeated, or a symbol in four words.  Repeated words, of which the base rule leaves 30 % at most, reject
+only together with another statistic (labelled documents with 20 to 30 % of them are good ones).
+
+Sources with fewer than MIN_GROUP documents of a language are pooled by language, and a pool
+under MIN_FIT documents, which has no covariance of its own, rejects nothing: stated rules, the same in
+a table of any size.  Only documents that pass the base rules are fitted or rejected; a document is
+rejected if its squared distance exceeds CUTOFF.
+
+Null text has no words and fails the base rules.  Null language or source counts as ''.  Texts of
+any length are taken whole; an empty table gives no row.  Repeated rows each count.  Further columns,
+whatever their names, are kept or ignored as asked.
 """
 
 from __future__ import annotations
@@ -32,11 +40,13 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 STATS = ("x0", "x1", "x2", "x3")
-FLOORS = (0.10, 0.08, 0.15, 0.15)  # standard deviations added for: log word length, root symbols a word, repeated lines, repeated words
+FLOORS = (0.10, 0.08, 0.08, 0.05)  # standard deviations added for: log word length, root symbols a word, repeated lines, repeated words
 UNIT = 1000
 SUBSET = 0.75
 CONSISTENCY = 1.486  # SUBSET / P(chi2 with 6 <= the SUBSET quantile of chi2 with 4)
-C_STEPS = 3
+STARTS = 4
+C_STEPS = 2
+LAST_STEPS = 2
 MIN_GROUP = 50
 MIN_FIT = 8
 CUTOFF = 40.0  # chi2 with 4: upper tail 4e-8
@@ -107,10 +117,10 @@ def squared_distance(mean: list[Column], low: dict[tuple[int, int], Column]) ->
     return total
 
 
-def _estimates(kept: DataFrame) -> DataFrame:
-    """grp, m0.., l00..: mean and Cholesky factor of the regularised covariance from exact sums."""
+def _estimates(kept: DataFrame, keys: tuple[str, ...] = ("grp", "st")) -> DataFrame:
+    """keys, m0.., l00..: mean and Cholesky factor of the regularised covariance from exact sums."""
     d = range(len(STATS))
-    df = kept.select("grp", "n", *[(F.col(f"s{i}").cast("double") / F.col("n")).alias(f"m{i}") for i in d], *[F.col(f"s{i}{j}") for i in d for j in range(i + 1)])
+    df = kept.select(*keys, "n", *[(F.col(f"s{i}").cast("double") / F.col("n")).alias(f"m{i}") for i in d], *[F.col(f"s{i}{j}") for i in d for j in range(i + 1)])
     df = df.withColumns({f"c{i}{j}": F.lit(CONSISTENCY) * (F.col(f"s{i}{j}").cast("double") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (F.lit((UNIT * FLOORS[i]) ** 2) if i == j else F.lit(0.0)) for i in d for j in range(i + 1)})
     for i in d:
         for j in range(i + 1):
@@ -118,11 +128,40 @@ def _estimates(kept: DataFrame) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    return df.select("grp", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)])
+    return df.select(*keys, *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)])
+
+
+def _sums() -> dict[str, Column]:
+    """Exact sums of the statistics and of their products."""
+    d = range(len(STATS))
+    exact = lambda c: F.sum(c.cast("decimal(20,0)"))
+    return {f"s{i}": exact(F.col(f"x{i}")) for i in d} | {f"s{i}{j}": exact(F.col(f"x{i}") * F.col(f"x{j}")) for i in d for j in range(i + 1)}
+
+
+def _starts(fit: DataFrame) -> DataFrame:
+    """grp, st, m0.., l00..: the first guesses of each group."""
+    d = range(len(STATS))
+    quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    whole = fit.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile(x, quartiles).alias(f"q{i}") for i, x in enumerate(STATS)], *[c.alias(k) for k, c in _sums().items()]).where(F.col("n") >= MIN_FIT)
+    whole = written(whole, "quartiles")
+    floor = [F.lit(UNIT * FLOORS[i]) for i in d]
+    spread = [F.sqrt(F.pow((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) / 1.349, 2) + F.pow(floor[i], 2)) for i in d]
+    guess = lambda st, at, scale: whole.select("grp", F.lit(st).alias("st"), *[F.get(f"q{i}", F.lit(at)).alias(f"m{i}") for i in d], *[(scale[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in d for j in range(i + 1)])
+    classical = _estimates(whole.withColumn("st", F.lit(3)))
+    return guess(0, 1, floor).union(guess(1, 0, spread)).union(guess(2, 2, spread)).union(classical)
+
+
+def _least_determinant(estimates: DataFrame) -> DataFrame:
+    """Of each group's guesses the one whose covariance has the least determinant; ties to the first."""
+    det = F.col("l00")
+    for i in range(1, len(STATS)):
+        det = det * F.col(f"l{i}{i}")
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(det, "st"))  # at most STARTS rows a group
+    return estimates.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def _with_distance(df: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Left join of each document to the estimates of its group; d2 is null where there are none."""
+    """Left join of each document to the estimates of its group, one row for each guess; d2 is null where there are none."""
     d = range(len(STATS))
     both = df.join(bounded(estimates, estimates.count()), "grp", "left")
     both = both.withColumn("d2", squared_distance([F.col(f"m{i}") for i in d], {(i, j): F.col(f"l{i}{j}") for i in d for j in range(i + 1)}))
@@ -130,15 +169,12 @@ def _with_distance(df: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def _concentrate(fitted: DataFrame) -> DataFrame:
-    """Estimates from the SUBSET share of least distances of each group."""
-    d = range(len(STATS))
-    exact = lambda c: F.sum(c.cast("decimal(20,0)"))
-    sums = {f"s{i}": exact(F.col(f"x{i}")) for i in d} | {f"s{i}{j}": exact(F.col(f"x{i}") * F.col(f"x{j}")) for i in d for j in range(i + 1)}
-    bins = fitted.where("d2 is not null").withColumn("bin", F.floor(F.log2(F.col("d2") + 1) * BINS).cast("int")).groupBy("grp", "bin").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in sums.items()])
-    up_to = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("grp")
+    """Estimates from the SUBSET share of least distances of each group and guess."""
+    bins = fitted.where("d2 is not null").withColumn("bin", F.floor(F.log2(F.col("d2") + 1) * BINS).cast("int")).groupBy("grp", "st", "bin").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in _sums().items()])
+    whole = Window.partitionBy("grp", "st")
+    up_to = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumns({"before": F.coalesce(F.sum("n").over(up_to), F.lit(0)), "all": F.sum("n").over(whole)}).where(F.col("before") < F.lit(SUBSET) * F.col("all"))
-    return _estimates(bins.groupBy("grp").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in sums]))
+    return _estimates(bins.groupBy("grp", "st").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in _sums()]))
 
 
 def robust_outliers(stats: DataFrame, *, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -149,13 +185,14 @@ def robust_outliers(stats: DataFrame, *, lang_col: str = "lang", source_col: str
     df = df.join(bounded(large, large.count()), ["_l", "_s"], "left")
     df = df.withColumn("grp", F.struct(F.col("_l").alias("lang"), F.when(F.col("large"), F.col("_s")).alias("source"))).withColumn("grp", F.to_json("grp")).drop("_l", "_s", "large")
     fit = df.where(~base_failed()).select("grp", *STATS)
-    d = range(len(STATS))
-    start = fit.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(STATS)]).where(F.col("n") >= MIN_FIT)
-    estimates = start.select("grp", *[f"m{i}" for i in d], *[F.lit(UNIT * FLOORS[i] if i == j else 0.0).alias(f"l{i}{j}") for i in d for j in range(i + 1)])
-    estimates = written(estimates, "start")
+    fit = written(fit, "fit")
+    estimates = written(_starts(fit), "starts")
     for _ in range(C_STEPS):
         estimates = written(_concentrate(_with_distance(fit, estimates)), "estimates")
-    return _with_distance(df, estimates).drop("grp", *STATS)
+    estimates = written(_least_determinant(estimates), "estimates")
+    for _ in range(LAST_STEPS):
+        estimates = written(_concentrate(_with_distance(fit, estimates)), "estimates")
+    return _with_distance(df, estimates).drop("grp", "st", *STATS)
 
 
 def assess(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -184,28 +221,38 @@ def oracle_sql() -> str:
         return out
 
     def measured(name: str, rows: str, estimates: str) -> str:
-        columns = f"SELECT f.*, e.grp AS eg, {', '.join(f'e.m{i}' for i in d)}, {', '.join(f'e.l{i}{j}' for i, j in pairs)} FROM {rows} f LEFT JOIN {estimates} e USING (grp)"
+        columns = f"SELECT f.*, e.st, {', '.join(f'e.m{i}' for i in d)}, {', '.join(f'e.l{i}{j}' for i, j in pairs)} FROM {rows} f LEFT JOIN {estimates} e USING (grp)"
         for y in distance("e"):
             columns = f"SELECT *, {y.replace('e.', '')} FROM ({columns})"
         return f"{name} AS (SELECT *, {' + '.join(f'y{i} * y{i}' for i in d)} AS d2 FROM ({columns}))"
 
-    def step(k: int) -> list[str]:
-        sums = ", ".join([f"sum(CAST(x{i} AS HUGEINT)) AS s{i}" for i in d] + [f"sum(CAST(x{i} AS HUGEINT) * x{j}) AS s{i}{j}" for i, j in pairs])
-        again = ", ".join([f"sum(s{i}) AS s{i}" for i in d] + [f"sum(s{i}{j}) AS s{i}{j}" for i, j in pairs])
-        cov = f"SELECT grp, n, {', '.join(f'CAST(s{i} AS DOUBLE) / n AS m{i}' for i in d)}, {', '.join(f's{i}{j}' for i, j in pairs)} FROM k{k}"
+    sums = ", ".join([f"sum(CAST(x{i} AS HUGEINT)) AS s{i}" for i in d] + [f"sum(CAST(x{i} AS HUGEINT) * x{j}) AS s{i}{j}" for i, j in pairs])
+
+    def estimated(rows: str) -> str:
+        cov = f"SELECT grp, st, n, {', '.join(f'CAST(s{i} AS DOUBLE) / n AS m{i}' for i in d)}, {', '.join(f's{i}{j}' for i, j in pairs)} FROM {rows}"
         cov = f"SELECT *, {', '.join(f'{CONSISTENCY} * (CAST(s{i}{j} AS DOUBLE) / n - m{i} * m{j}) + {(UNIT * FLOORS[i]) ** 2 if i == j else 0.0} AS c{i}{j}' for i, j in pairs)} FROM ({cov})"
         for i, j in pairs:
             rest = f"c{i}{j}" + "".join(f" - l{i}{q} * l{j}{q}" for q in range(j))
             cov = f"SELECT *, {f'sqrt(greatest({rest}, 1e-9))' if i == j else f'({rest}) / l{j}{j}'} AS l{i}{j} FROM ({cov})"
+        return f"SELECT grp, st, {', '.join(f'm{i}' for i in d)}, {', '.join(f'l{i}{j}' for i, j in pairs)} FROM ({cov})"
+
+    def step(k: int, best: bool) -> list[str]:
+        again = ", ".join([f"sum(s{i}) AS s{i}" for i in d] + [f"sum(s{i}{j}) AS s{i}{j}" for i, j in pairs])
+        new = estimated(f"k{k}")
+        if best:
+            new = f"SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {' * '.join(f'l{i}{i}' for i in d)}, st) AS place FROM ({new})) WHERE place = 1"
         return [
             measured(f"q{k}", "fit", f"e{k}"),
-            f"b{k} AS (SELECT grp, CAST(floor(log2(d2 + 1) * {BINS}) AS INTEGER) AS bin, count(*) AS n, {sums} FROM q{k} WHERE d2 IS NOT NULL GROUP BY 1, 2)",
-            f"w{k} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY grp ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY grp) AS total FROM b{k})",
-            f"k{k} AS (SELECT grp, sum(n) AS n, {again} FROM w{k} WHERE before < {SUBSET} * total GROUP BY grp)",
-            f"e{k + 1} AS ({cov})",
+            f"b{k} AS (SELECT grp, st, CAST(floor(log2(d2 + 1) * {BINS}) AS INTEGER) AS bin, count(*) AS n, {sums} FROM q{k} WHERE d2 IS NOT NULL GROUP BY 1, 2, 3)",
+            f"w{k} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY grp, st ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY grp, st) AS total FROM b{k})",
+            f"k{k} AS (SELECT grp, st, sum(n) AS n, {again} FROM w{k} WHERE before < {SUBSET} * total GROUP BY grp, st)",
+            f"e{k + 1} AS MATERIALIZED ({new})",
         ]
 
-    start = ", ".join([f"quantile_cont(x{i}, 0.5) AS m{i}" for i in d] + [f"CAST({UNIT * FLOORS[i] if i == j else 0.0} AS DOUBLE) AS l{i}{j}" for i, j in pairs])
+    quartiles = ", ".join(f"quantile_cont(x{i}, [0.25, 0.5, 0.75]) AS q{i}" for i in d)
+    floors = [str(float(UNIT * FLOORS[i])) for i in d]
+    spread = [f"sqrt(pow((q{i}[3] - q{i}[1]) / 1.349, 2) + pow({floors[i]}, 2))" for i in d]
+    guess = lambda st, at, scale: f"SELECT grp, {st} AS st, {', '.join(f'CAST(q{i}[{at}] AS DOUBLE) AS m{i}' for i in d)}, {', '.join(f'CAST({scale[i] if i == j else 0.0} AS DOUBLE) AS l{i}{j}' for i, j in pairs)} FROM u"
     fixed = lambda x: f"CAST(floor({x} * {UNIT} + 0.5) AS BIGINT)"
     ctes = [
         "d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents)",
@@ -216,10 +263,11 @@ def oracle_sql() -> str:
         f"x AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {fixed('ln(greatest(word_chars, 1) / CAST(greatest(n_words, 1) AS DOUBLE))')} AS x0, {fixed('sqrt(n_symbols / CAST(greatest(n_words, 1) AS DOUBLE))')} AS x1, {fixed('(n_dup_lines / CAST(greatest(n_lines, 1) AS DOUBLE))')} AS x2, {fixed('(n_repeat_words / CAST(greatest(n_words, 1) AS DOUBLE))')} AS x3 FROM a)",
         f"g AS (SELECT lang, source FROM x WHERE NOT base_failed GROUP BY 1, 2 HAVING count(*) >= {MIN_GROUP})",
         "y AS (SELECT x.*, x.lang || chr(1) || CASE WHEN g.lang IS NULL THEN '' ELSE chr(2) || x.source END AS grp FROM x LEFT JOIN g ON x.lang = g.lang AND x.source = g.source)",
-        "fit AS (SELECT * FROM y WHERE NOT base_failed)",
-        f"e0 AS (SELECT grp, {start} FROM fit GROUP BY grp HAVING count(*) >= {MIN_FIT})",
+        "fit AS MATERIALIZED (SELECT grp, x0, x1, x2, x3 FROM y WHERE NOT base_failed)",
+        f"u AS (SELECT grp, 3 AS st, count(*) AS n, {quartiles}, {sums} FROM fit GROUP BY grp HAVING count(*) >= {MIN_FIT})",
+        f"e0 AS MATERIALIZED ({guess(0, 2, floors)} UNION ALL {guess(1, 1, spread)} UNION ALL {guess(2, 3, spread)} UNION ALL {estimated('u')})",
     ]
-    for k in range(C_STEPS):
-        ctes += step(k)
-    ctes.append(measured("z", "y", f"e{C_STEPS}"))
+    for k in range(C_STEPS + LAST_STEPS):
+        ctes += step(k, k == C_STEPS - 1)
+    ctes.append(measured("z", "y", f"e{C_STEPS + LAST_STEPS}"))
     return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2, 0.0) <= {CUTOFF} AS kept FROM z"
