@@ -1,14 +1,18 @@
 """Secret scans: base patterns, and character Markov models of random strings and ordinary identifiers.
 
-All of it is DataFrame functions.  Both models are first-order chains over the 65 characters
-of ALPHABET and an end, trained on labelled samples that a rule makes: digests in several
-encodings (random), and words of code and of four languages joined as identifiers, and plain numbers (ordinary).
-A token of MIN_TOKEN or more characters is a secret if its log-likelihood ratio exceeds
-MIN_RATIO in total and MIN_RATE for each character.  Tokens that overlap a base span are left
-to it.  Places are found by cutting the text at the matches and summing the lengths.
-
-Null text is empty.  Rows are told apart by a key of id and text hash, so equal rows give equal
-results, one row each; a null doc_id is kept.
+All of it is DataFrame functions.  Both models are first-order chains over the 68 characters
+of ALPHABET, trained on labelled samples that a rule makes: digests in the shapes of public token
+formats (random), and words of code and of four languages in the shapes of identifiers, paths, hosts,
+versions, dates, numbers and ruled lines (ordinary).  Samples of other numbers than those trained
+on are held out for tests.  A token of MIN_TOKEN or more characters (fewer carry too little
+evidence) is a secret if its log-likelihood ratio exceeds MIN_RATIO in total and MIN_RATE for
+each character.  Tokens that overlap a base span are left to it.  Places are found by cutting
+the text at the matches and summing the lengths.
+
+Null text is empty; an empty table gives no row; texts of any length are scanned whole, whatever
+the number of their hits.  Rows are told apart by a key of id and text hash, so equal rows give
+equal results, one row each; a null doc_id is kept; other columns, whatever their names, are
+ignored or kept as asked.
 """
 
 from __future__ import annotations
@@ -30,26 +34,24 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "markov")
 
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/="
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=-_."
 MIN_TOKEN = 16
-TOKEN = r"[A-Za-z0-9+/=]{16,}"
+TOKEN = r"[A-Za-z0-9+/=_.-]{16,}"
 MIN_RATIO = 14.0
 MIN_RATE = 0.6
-SAMPLES = 2_000
+SAMPLES = 4_000
 SMOOTHING = 0.5
 
-#: Parts of ordinary identifiers and words.
-PARTS = (
-    "get set user name list item count index value data type file path read write open close config default request response server client "
-    "session handler manager service factory builder parser string number array object result error message create update delete select insert "
-    "table column query engine table stream buffer thread process system network connection address version release license the and that with "
-    "this from have tion ing ment ness able other their there which would about people water through because between information government "
-    "development international understanding der die und das nicht eine werden haben sein schaft ung keit lich einen durch zwischen gesellschaft "
-    "les des dans pour que qui avec sur tion eaux ment elle entre nous vous leur cette toujours aujourd gouvernement los las una por para con del "
-    "como mente cion ado entre desde hasta tambien cuando porque gobierno her his ther ere ent and han ion for ati hea ter est ers oul ough ight"
+#: Common words of code and of four languages.
+WORDS = (
+    "get set user name list item count index value data type file path read write open close config default request response server client session handler manager "
+    "service factory builder parser string number array object result error message create update delete select insert table column query engine stream buffer "
+    "the and that with this from have other their there which would about people water through because between information government development understanding "
+    "und nicht eine werden haben sein durch zwischen gesellschaft freundlichkeit wissenschaft arbeit möglich jahr immer wieder schon menschen leben zeit welt "
+    "les dans pour que avec sur elle entre nous vous leur cette toujours aujourd gouvernement maison monde jamais encore beaucoup homme femme enfant travail "
+    "los una por para con como entre desde hasta tambien cuando porque gobierno ciudad mundo siempre persona trabajo momento palabra historia mujer hombre"
 )
 
-
 def _codes(token: Column) -> Column:
     """Places in the alphabet of a token's characters."""
     places = [0] * 128
@@ -59,18 +61,35 @@ def _codes(token: Column) -> Column:
     return F.transform(F.split(token, ""), lambda c: F.get(table, F.ascii(c)))
 
 
-def samples(spark: SparkSession) -> DataFrame:
-    """token, random: labelled samples made by rule."""
-    n, i = SAMPLES, F.col("id")
-    digest = F.sha2(F.concat(F.lit("sample "), i.cast("string")), 256)
-    raw = F.unhex(digest)
-    shown = F.when(i % 4 == 0, digest).when(i % 4 == 1, F.regexp_replace(F.base64(raw), "=", "")).when(i % 4 == 2, F.regexp_replace(F.base64(raw), "[+/=]", "")).otherwise(F.upper(F.regexp_replace(F.base64(raw), "[+/=]", "")))
-    parts = F.split(F.lit(PARTS), " ")
-    part = lambda k: F.get(parts, F.pmod(F.xxhash64(i, F.lit(k)), F.size(parts)).cast("int"))
-    number = F.substring(F.abs(F.xxhash64(i, F.lit(6))).cast("string"), 1, 16)
-    joined = F.when(i % 6 == 4, F.upper(F.concat(part(1), part(2), part(3), part(4)))).when(i % 6 == 5, number).when(i % 4 == 0, F.concat(part(1), F.initcap(part(2)), F.initcap(part(3)), F.initcap(part(4)))).when(i % 4 == 1, F.concat(part(1), F.lit("/"), part(2), F.lit("/"), part(3), F.lit("/"), part(4))).when(i % 4 == 2, F.concat(part(1), part(2), part(3), part(4), part(5))).otherwise(F.concat(F.initcap(part(1)), part(2), part(3), part(4)))
-    base = spark.range(0, n, 1, 4)
-    return base.select(shown.alias("token"), F.lit(True).alias("random")).union(base.select(joined.alias("token"), F.lit(False).alias("random")))
+def samples(spark: SparkSession, first: int = 0, n: int = SAMPLES) -> DataFrame:
+    """token, random: n labelled samples of each kind made by rule, from number `first` on."""
+    i = F.col("id")
+    raw = F.unhex(F.sha2(F.concat(F.lit("sample "), i.cast("string")), 256))
+    more = F.unhex(F.sha2(F.concat(F.lit("further "), i.cast("string")), 256))
+    words = F.split(F.lit(" ".join(w for w in WORDS.split() if w.isascii())), " ")
+    pick = lambda k, values: F.get(values, F.pmod(F.xxhash64(i, F.lit(k)), F.size(values)).cast("int"))
+    word = lambda k: pick(k, words)
+    digits = lambda k, size: F.lpad(F.pmod(F.xxhash64(i, F.lit(k)), F.lit(10**size)).cast("string"), size, "0")
+    base64 = F.regexp_replace(F.base64(raw), "=", "")
+    url64 = F.translate(base64, "+/", "-_")
+    plain = F.regexp_replace(base64, "[+/]", "")
+    size = 16 + F.pmod(F.xxhash64(i, F.lit(9)), F.lit(24)).cast("int")
+    cut = lambda c: F.substring(c, F.lit(1), size)
+    shapes = [
+        F.lower(F.hex(raw)), base64, url64, cut(plain), F.upper(plain), F.concat(F.substring(word(1), 1, 3), F.lit("_"), plain), F.concat(F.substring(word(1), 1, 2), F.lit("-"), cut(url64)),
+        F.concat(cut(url64), F.lit("."), F.translate(F.regexp_replace(F.base64(more), "=", ""), "+/", "-_")),
+    ]
+    four = [word(k) for k in (1, 2, 3, 4)]
+    date = F.concat_ws("-", digits(5, 4), digits(6, 2), digits(7, 2))
+    ordinary = [
+        F.concat(four[0], *[F.initcap(w) for w in four[1:]]), F.concat(*[F.initcap(w) for w in four]), F.concat_ws("_", *four), F.concat_ws("-", *four), F.concat_ws(".", *four), F.concat_ws("/", *four),
+        F.concat(F.lit("www."), four[0], four[1], F.lit(".org/"), four[2], F.lit("-"), four[3], F.lit(".html")), F.upper(F.concat_ws("_", *four)), F.concat(*four), F.upper(F.concat(*four)),
+        digits(5, 16), F.concat(date, F.lit("T"), digits(8, 2), F.lit("."), digits(9, 6)), F.concat(four[0], four[1], F.lit("-"), digits(5, 1), F.lit("."), digits(6, 2), F.lit("."), digits(7, 1), F.lit(".x86_64")),
+        F.repeat(pick(5, F.split(F.lit("- = _ . + /"), " ")), F.lit(20)), F.concat(four[0], F.lit("."), F.initcap(four[1]), F.lit("-"), four[2], digits(5, 2)), F.concat_ws("_", four[0], four[1], digits(5, 4), digits(6, 4)),
+    ]
+    shape = lambda values: F.get(F.array(*values), F.pmod(i, F.lit(len(values))).cast("int"))
+    base = spark.range(first, first + n, 1, 4)
+    return base.select(shape(shapes).alias("token"), F.lit(True).alias("random")).union(base.select(shape(ordinary).alias("token"), F.lit(False).alias("random")))
 
 
 @lru_cache(maxsize=4)
@@ -79,7 +98,7 @@ def _ratios(spark: SparkSession) -> tuple[float, ...]:
     n = len(ALPHABET)
     codes = samples(spark).select("random", F.concat(F.array(F.lit(n)), _codes(F.col("token"))).alias("c"))
     two = F.zip_with("c", F.slice("c", 2, F.size("c")), lambda a, b: a * n + b)
-    counts = codes.select("random", F.explode(two).alias("ab")).where("ab is not null").groupBy("random", "ab").count().collect()  # at most 2 * 66 * 65 rows
+    counts = codes.select("random", F.explode(two).alias("ab")).where("ab is not null").groupBy("random", "ab").count().collect()  # at most 2 * 69 * 68 rows
     table = {True: [SMOOTHING] * ((n + 1) * n), False: [SMOOTHING] * ((n + 1) * n)}
     for row in counts:
         table[row["random"]][row["ab"]] += row["count"]
@@ -90,6 +109,10 @@ def _ratios(spark: SparkSession) -> tuple[float, ...]:
     return tuple(round(x, 6) for x in out)
 
 
+def is_secret(spark: SparkSession, token: Column) -> Column:
+    return ratio(spark, token) >= F.greatest(F.lit(MIN_RATIO), F.char_length(token) * MIN_RATE)
+
+
 def ratio(spark: SparkSession, token: Column) -> Column:
     """Log-likelihood ratio of a token: random against ordinary."""
     n = len(ALPHABET)
@@ -106,7 +129,7 @@ def spans(keyed: DataFrame) -> DataFrame:
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     lower = F.lower(text)
     named = F.contains(lower, F.lit("passw")) | F.contains(lower, F.lit("secret")) | F.contains(lower, F.lit("token")) | F.contains(lower, F.lit("api"))
-    judged = F.transform(tokens, lambda t: F.struct(t.alias("m"), (ratio(spark, t) >= F.greatest(F.lit(MIN_RATIO), F.char_length(t) * MIN_RATE)).alias("ok")))
+    judged = F.transform(tokens, lambda t: F.struct(t.alias("m"), is_secret(spark, t).alias("ok")))
     whole = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
     sized = lambda kind, m, v: F.zip_with(m, v, lambda a, b: F.struct(a.alias("m"), (F.char_length(b) >= LEAST[kind]).alias("ok")))
     df = keyed.select(
@@ -141,7 +164,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kee
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("th"), *[F.col(c).alias(f"k_{c}") for c in keep])
     found = spans(keyed.select("id", "th", "text")).groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
     found = written(found, "secrets")
-    found = bounded(found.select(F.col("id").alias("vid"), F.col("th").alias("vth"), "spans"), found.count() * 16)
+    size = found.agg(F.coalesce(F.sum(F.size("spans") + 2), F.lit(0)).alias("n")).first()["n"]  # spans, not rows, bound what a broadcast holds
+    found = bounded(found.select(F.col("id").alias("vid"), F.col("th").alias("vth"), "spans"), size * 2)
     both = keyed.drop("text").join(found, F.col("id").eqNullSafe(F.col("vid")) & (F.col("th") == F.col("vth")), "left")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     return both.select(F.col("id").alias("doc_id"), *[f"k_{c}" for c in keep], F.coalesce("spans", none).alias("spans"))
