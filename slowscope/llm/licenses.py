@@ -1,109 +1,130 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
-Words: A-Z lower-cased, runs of ASCII letters, digits and non-ASCII characters.  Every rolling
-K-word hash of every text is joined to the positions of the same K words in license
-templates (a constant table of this module, so its broadcast has a proven bound).  Hits are
-summed by offset diagonal (place in the text minus place in the template), diagonals at most
-GAP apart and near in the text are merged into spans, and a span is verified by the share of the
-template's distinct K-word places that it covers.
+Words: A-Z lower-cased, runs of ASCII letters, digits and non-ASCII characters.  Each text is cut into
+words once.  Every rolling K-word hash is joined to the positions of the same K words in license
+texts and notices (license_texts, a constant of this package, so its broadcast has a proven bound); a
+bit map of the hashes, also a constant, drops most that can join nothing before they leave their row.
+Hits are summed by offset diagonal (place in the text minus place in the template), diagonals at
+most GAP apart and near in the text are merged into spans, and a span is verified by the share of the
+template's distinct K-word places that it covers, and by having no overlapping span with more hits.
 
 Base rules: places where the words of a phrase of PHRASES stand consecutively.
 
-Null text is empty: no words, no labels, score 0.  Equal rows give equal results, one row
-each; a null doc_id is kept.  Texts of one document id that differ are told apart by their hash.
+Null text is empty: no words, no labels, score 0; an empty table gives no row.  Texts of any length are
+taken whole, whatever the number of their hits.  Equal rows give equal results, one row each, and
+rows that share an id stay apart; a null doc_id is kept; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import lower_ascii, written
 from .components import bounded
+from .license_texts import TEXTS
 
 K = 3
 GAP = 3
 REACH = 40
 MIN_COVERAGE = 0.6
+MAP_BITS = 16
 
 #: Phrases and labels of the base rules.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Words of public license notices.
-TEMPLATES = {
-    "mit-line": ("mit", "released under the mit license"),
-    "mit-grant": ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    "apache-line": ("apache", "licensed under the apache license version 2 0"),
-    "apache-terms": ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    "gpl-line": ("gpl", "this work is licensed under the gnu general public license version 3"),
-    "gpl-terms": ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    "cc-by-nc": ("cc-by-nc", "licensed under cc by nc 4 0"),
-    "cc-by-sa": ("cc-by-sa", "licensed under cc by sa 4 0"),
-    "cc-by": ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    "bsd": ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    "mpl": ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    "isc": ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-}
-
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_KELVIN = "\u212a"  # the one other character whose lower case is an ASCII letter
+
+
+def template_words() -> dict[str, tuple[str, list[str]]]:
+    """name -> (label, words) of each template."""
+    return {name: (label, [w for w in re.split(_BREAK, text.lower()) if w]) for name, (label, text) in TEXTS.items()}
 
 
 def words(text: Column) -> Column:
-    """The text's words, A-Z lower-cased."""
-    return F.filter(F.split(lower_ascii(text), _BREAK), lambda w: w != "")
+    """The text's words, A-Z lower-cased (other letters in either case: templates and phrases are ASCII)."""
+    lowered = F.when(F.contains(text, F.lit(_KELVIN)), lower_ascii(text)).otherwise(F.lower(text))
+    return F.array_remove(F.split(lowered, _BREAK), "")
+
+
+def _hash(*words: Column) -> Column:
+    return F.xxhash64(*words)
 
 
 def templates(spark: SparkSession) -> DataFrame:
     """h, template, label, at, n_grams: each place of K words in each template."""
-    rows = []
-    for name, (label, text) in TEMPLATES.items():
-        parts = text.split()
-        rows += [(" ".join(parts[i : i + K]), name, label, i, len(parts) - K + 1) for i in range(len(parts) - K + 1)]
-    df = spark.createDataFrame(rows, "gram string, template string, label string, at int, n_grams int")
-    return df.select(F.xxhash64("gram").alias("h"), "template", "label", "at", "n_grams")
+    rows = [(*parts[i : i + K], name, label, i, len(parts) - K + 1) for name, (label, parts) in template_words().items() for i in range(len(parts) - K + 1)]
+    df = spark.createDataFrame(rows, "w1 string, w2 string, w3 string, template string, label string, at int, n_grams int")
+    return df.select(_hash(*map(F.col, ("w1", "w2", "w3"))).alias("h"), "template", "label", "at", "n_grams")
 
 
-def verdicts(keyed: DataFrame) -> DataFrame:
-    """id, th, labels, score, spans for those of keyed (id, th, text) where a template is found."""
-    grams = keyed.select("id", "th", words(F.col("text")).alias("w"))
-    tail = lambda i: F.slice("w", i, F.greatest(F.size("w"), F.lit(1)))
-    # the last K - 1 places have no full gram: concat with null gives null, which joins nothing
-    trigrams = F.zip_with(F.zip_with("w", tail(2), lambda a, b: F.concat(a, F.lit(" "), b)), tail(3), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b)))
-    rolled = grams.select("id", "th", F.posexplode(trigrams).alias("place", "h"))
-    hits = rolled.join(F.broadcast(templates(keyed.sparkSession)), "h").distinct()
-    diagonals = hits.withColumn("diagonal", F.col("place") - F.col("at")).groupBy("id", "th", "template", "label", "n_grams", "diagonal").agg(F.count("*").alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"), F.collect_set("at").alias("at"))
-    own = Window.partitionBy("id", "th", "template").orderBy("diagonal", "first")
-    before = F.lag("diagonal").over(own)
-    fresh = before.isNull() | (F.col("diagonal") - before > GAP) | (F.col("first") - F.lag("last").over(own) > REACH)
-    spans = diagonals.withColumn("span", F.sum(fresh.cast("int")).over(own)).groupBy("id", "th", "template", "label", "n_grams", "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.flatten(F.collect_set("at")).alias("at"))
-    spans = spans.withColumn("coverage", F.size(F.array_distinct("at")) / F.col("n_grams")).where(F.col("coverage") >= MIN_COVERAGE)
-    found = F.struct(F.col("first").cast("long").alias("first_word"), (F.col("last") + K).cast("long").alias("end_word"), "template", "coverage")
-    return spans.groupBy("id", "th").agg(F.collect_set("label").alias("found"), F.max("coverage").alias("score"), F.array_sort(F.collect_list(found)).alias("spans"))
+_MAPS: dict[str, tuple[int, ...]] = {}
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans: one row for each row of docs."""
+def _bit_map(spark: SparkSession) -> tuple[int, ...]:
+    """Longs of 64 bits: bit h mod 2^MAP_BITS is set for each template hash h."""
+    if not _MAPS:
+        bits = [0] * (1 << MAP_BITS - 6)
+        for row in templates(spark).select("h").collect():  # a constant: some 2,000 rows
+            k = row["h"] & (1 << MAP_BITS) - 1
+            bits[k >> 6] |= 1 << (k & 63)
+        _MAPS[""] = tuple(b - (1 << 64) if b >> 63 else b for b in bits)
+    return _MAPS[""]
+
+
+def read_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """uid, doc_id, n_words, places of each phrase (p_...), likely (place and hash of K words that may stand in a template)."""
+    bits = F.split(F.lit(",".join(map(str, _bit_map(docs.sparkSession)))), ",").cast("array<bigint>")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    found = written(verdicts(keyed), "licenses")
-    found = bounded(found.select(F.col("id").alias("vid"), F.col("th").alias("vth"), "found", "score", "spans"), found.count() * 16)
-    likely = F.contains(lower_ascii(F.col("text")), F.lit("license"))
-    base = keyed.select("id", "th", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), F.when(likely, words(F.col("text"))).alias("w"))
+    df = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), words(text).alias("w"))
+    tail = lambda i: F.slice("w", i, F.greatest(F.size("w"), F.lit(1)))
+    three = F.when(F.size("w") >= K, F.arrays_zip(F.col("w").alias("a"), tail(2).alias("b"), tail(3).alias("c")))
+    df = df.withColumn("h", F.transform(three, lambda x: _hash(x["a"], x["b"], x["c"])))
+    mapped = lambda h: F.getbit(F.get(bits, F.shiftright(h.bitwiseAND((1 << MAP_BITS) - 1), 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
+    likely = F.filter(F.transform("h", lambda h, i: F.when(mapped(h), F.struct(i.alias("place"), h.alias("h")))), lambda x: x.isNotNull())
+    some = F.array_contains("w", "license")  # of every phrase
 
     def starts(phrase: list[str]) -> Column:
         wanted = F.array(*map(F.lit, phrase))
         marked = F.transform("w", lambda x, i: F.when(x == phrase[0], F.when(F.slice("w", i + 1, len(phrase)) == wanted, i)))
-        return F.filter(marked, lambda i: i.isNotNull())
+        return F.coalesce(F.when(some, F.filter(marked, lambda i: i.isNotNull())), F.array().cast("array<int>"))
+
+    return df.select("uid", "doc_id", F.size("w").cast("long").alias("n_words"), *[starts(p.split()).alias(f"p_{label}") for p, label in PHRASES.items()], likely.alias("likely"))
+
+
+def verdicts(read: DataFrame) -> DataFrame:
+    """uid, found (labels), score, spans for those of read_words() where a template is found."""
+    rolled = read.select("uid", F.explode("likely").alias("x")).select("uid", "x.place", "x.h")
+    hits = rolled.join(F.broadcast(templates(read.sparkSession)), "h")
+    diagonals = hits.withColumn("diagonal", F.col("place") - F.col("at")).groupBy("uid", "template", "label", "n_grams", "diagonal").agg(F.count("*").alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"), F.collect_set("at").alias("at"))
+    own = Window.partitionBy("uid", "template").orderBy("diagonal", "first")
+    before = F.lag("diagonal").over(own)
+    fresh = before.isNull() | (F.col("diagonal") - before > GAP) | (F.col("first") - F.lag("last").over(own) > REACH)
+    spans = diagonals.withColumn("span", F.sum(fresh.cast("int")).over(own)).groupBy("uid", "template", "label", "n_grams", "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.flatten(F.collect_set("at")).alias("at"))
+    spans = spans.withColumn("coverage", F.size(F.array_distinct("at")) / F.col("n_grams")).where(F.col("coverage") >= MIN_COVERAGE)
+    one = F.struct(F.col("first").cast("long").alias("first_word"), (F.col("last") + K).cast("long").alias("end_word"), "template", "coverage", "label", "votes")
+    every = spans.groupBy("uid").agg(F.array_sort(F.collect_list(one)).alias("every"))
+    beaten = lambda s: F.exists("every", lambda t: (t["first_word"] < s["end_word"]) & (s["first_word"] < t["end_word"]) & (t["votes"] > s["votes"]))
+    every = every.select("uid", F.filter("every", lambda s: ~beaten(s)).alias("spans"))
+    return every.select("uid", F.array_distinct(F.transform("spans", lambda s: s["label"])).alias("found"), F.array_max(F.transform("spans", lambda s: s["coverage"])).alias("score"), "spans")
 
-    places = {label: starts(phrase.split()) for phrase, label in PHRASES.items()}
-    base = base.withColumns({f"p_{k}": F.coalesce(v, F.array().cast("array<int>")) for k, v in places.items()}).drop("w")
-    every = F.concat(*[F.col(f"p_{k}") for k in places])
-    named = F.filter(F.array(*[F.when(F.size(f"p_{k}") > 0, F.lit(k)) for k in places]), lambda x: x.isNotNull())
-    both = base.join(found, F.col("id").eqNullSafe(F.col("vid")) & (F.col("th") == F.col("vth")), "left")
+
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans: one row for each row of docs."""
+    read = written(read_words(docs, id_col, text_col), "words")
+    found = written(verdicts(read), "licenses")
+    size = found.agg(F.coalesce(F.sum(F.size("spans") + 2), F.lit(0)).alias("n")).first()["n"]  # spans, not rows, bound what a broadcast holds
+    both = read.drop("likely").join(bounded(found, size * 8), "uid", "left")
+    labels = list(PHRASES.values())
+    every = F.concat(*[F.col(f"p_{k}") for k in labels])
+    named = F.filter(F.array(*[F.when(F.size(f"p_{k}") > 0, F.lit(k)) for k in labels]), lambda x: x.isNotNull())
     join = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     return both.select(
-        F.col("id").alias("doc_id"),
+        "doc_id",
         "n_words",
         F.size(every).cast("long").alias("n_base"),
         F.array_min(every).cast("long").alias("first_word"),
@@ -118,7 +139,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 def oracle_sql() -> str:
     """The query's rows in DuckDB, from the texts: the same votes, diagonals, spans and coverage by joins of words."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    places = ", ".join(f"({quoted(' '.join(p[i : i + K]))}, {quoted(name)}, {quoted(label)}, {i}, {len(p) - K + 1})" for name, (label, text) in TEMPLATES.items() for p in [text.split()] for i in range(len(p) - K + 1))
+    places = ", ".join(f"({quoted(' '.join(p[i : i + K]))}, {quoted(name)}, {quoted(label)}, {i}, {len(p) - K + 1})" for name, (label, p) in template_words().items() for i in range(len(p) - K + 1))
     phrases = ", ".join(f"({quoted(p)}, {len(p.split())}, {quoted(label)})" for p, label in PHRASES.items())
     return f"""
 WITH t(gram, template, label, tpos, n_grams) AS (VALUES {places}),
@@ -137,15 +158,18 @@ d AS (
   SELECT rid, template, label, n_grams, tpos, place, place - tpos AS diagonal
   FROM i JOIN t ON array_to_string(w[place + 1 : place + {K}], ' ') = gram
 ), g AS (
-  SELECT rid, template, label, n_grams, diagonal, min(place) AS lo, max(place) AS hi, list(tpos) AS tpos FROM h GROUP BY ALL
+  SELECT rid, template, label, n_grams, diagonal, count(*) AS votes, min(place) AS lo, max(place) AS hi, list(tpos) AS tpos FROM h GROUP BY ALL
 ), m AS (
   SELECT *, lag(diagonal) OVER o AS pd, lag(hi) OVER o AS pl FROM g WINDOW o AS (PARTITION BY rid, template ORDER BY diagonal, lo)
 ), s AS (
   SELECT *, sum(CASE WHEN pd IS NULL OR diagonal - pd > {GAP} OR lo - pl > {REACH} THEN 1 ELSE 0 END) OVER (PARTITION BY rid, template ORDER BY diagonal, lo) AS span FROM m
 ), c AS (
-  SELECT rid, label, len(list_distinct(flatten(list(tpos)))) / CAST(n_grams AS DOUBLE) AS coverage FROM s GROUP BY rid, template, label, n_grams, span
+  SELECT * FROM (
+    SELECT rid, label, sum(votes) AS votes, min(lo) AS lo, max(hi) + {K} AS hi, len(list_distinct(flatten(list(tpos)))) / CAST(n_grams AS DOUBLE) AS coverage FROM s GROUP BY rid, template, label, n_grams, span
+  ) WHERE coverage >= {MIN_COVERAGE}
 ), v AS (
-  SELECT rid, list(DISTINCT label) AS found, max(coverage) AS score FROM c WHERE coverage >= {MIN_COVERAGE} GROUP BY rid
+  SELECT rid, list(DISTINCT label) AS found, max(coverage) AS score FROM c a
+  WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.rid = a.rid AND b.lo < a.hi AND a.lo < b.hi AND b.votes > a.votes) GROUP BY rid
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(array_to_string(list_sort(named), ','), '') AS base_labels,

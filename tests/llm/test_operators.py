@@ -186,6 +186,27 @@ def test_license_templates_with_a_gap(spark):
     assert row.labels == "mit" and row.base_labels == "" and 0.6 <= row.score < 1 and row.spans[0].first_word == 50
 
 
+def test_whole_licenses_edited_and_together(spark):
+    from slowscope.llm.license_texts import TEXTS
+
+    rng = random.Random(5)
+    filler = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    edited = TEXTS["bsd-3-clause"][1].split()
+    for k in range(0, len(edited), 15):
+        edited[k] = "other"
+    docs = [
+        (1, f"{filler(2500)} {' '.join(edited)} {filler(2500)}"), (2, f"{TEXTS['mit'][1]}\n\n{filler(30)}\n{TEXTS['apache-2.0'][1].upper()}"), (3, TEXTS["cc-by-sa"][1]), (4, TEXTS["cc-by"][1]), (5, "Licensed under CC BY-NC 4.0"),
+        (6, f"{TEXTS['mit-line'][1]} " * 3000), (7, "the word licen\u017fe is not the mit licen\u017fe, nor the \u212a"), (8, filler(5000)), (9, TEXTS["gpl-3.0"][1]),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: r.labels for i, r in got.items()} == {1: "bsd", 2: "apache,mit", 3: "cc-by-sa", 4: "cc-by", 5: "cc-by-nc", 6: "mit", 7: "", 8: "", 9: "gpl"}
+    assert abs(got[1].spans[0].first_word - 2500) <= 3 and 0.6 < got[1].score < 1 and got[2].score == 1
+    assert got[6].n_base == 3000 and got[6].n_words == 15_000 and got[7].n_words == 11
+    words = [w for w in re.split(licenses._BREAK, docs[1][1].lower()) if w]
+    at = {s.template: (s.first_word, s.end_word) for s in got[2].spans}
+    assert at["mit"][0] == 0 and words[at["apache-2.0"][0] : at["apache-2.0"][0] + 4] == ["licensed", "under", "the", "apache"]
+
+
 ASSIGN = re.compile(secrets.ASSIGN)
 
 
