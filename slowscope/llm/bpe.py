@@ -103,7 +103,7 @@ def ranks_tokenizer(name: str):
     return tokenizer, table
 
 
-class _Cache(dict):
+class Cache(dict):
     """chunk -> value, in two generations of at most `limit` entries."""
 
     def __init__(self, make: Callable[[str], object], limit: int):
@@ -112,7 +112,7 @@ class _Cache(dict):
     def __missing__(self, key: str):
         value = self.older.get(key)
         if value is None:
-            value = self.make(key if key[0] == "\n" else " " + key)
+            value = self.make(key)
             if len(key) > CACHE_CHUNK_CHARS:
                 return value
         self[key] = value
@@ -139,6 +139,33 @@ _PLAIN_LIMIT = "\u0250"
 _SPELL = dict(enumerate(spelled for _, spelled in sorted(byte_alphabet().items())))
 
 
+#: Letters and signs whose Unicode class has long been settled, so every engine's pattern agrees.
+_SETTLED_CLASS = r"\x00-\u024F\u0391-\u03A1\u03A3-\u03CE\u0400-\u0481\u05D0-\u05EA\u0620-\u064A\u2010-\u2027\u2030-\u205E\u20AC\u3001-\u3020\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3\uFF01-\uFF5E"
+_SETTLED = re.compile(f"[^{_SETTLED_CLASS}]")
+
+#: Also those that only some engines count as white space.
+_ODD = re.compile(rf"[^{_SETTLED_CLASS}]|[\x1c-\x1f]")
+
+
+def is_odd(text: str) -> bool:
+    """Whether engines may cut the text differently."""
+    return _ODD.search(text) is not None
+
+
+def spelled(pre_token: str) -> str:
+    """The pre-token's bytes in the byte alphabet."""
+    return pre_token.encode().decode("latin-1").translate(_SPELL)
+
+
+@lru_cache(maxsize=1)
+def pre_tokens() -> Callable[[str], list[str]]:
+    """Cuts a text into pre-tokens by the byte-level pattern."""
+    import public_tokenizers
+    import regex
+
+    return regex.compile(public_tokenizers.PATTERN).findall
+
+
 class IdEncoder:
     """texts -> ids as little-endian uint32 bytes.
 
@@ -147,13 +174,9 @@ class IdEncoder:
     """
 
     def __init__(self, tokenizer, special: tuple[str, ...] = (), limit: int = CACHE_CHUNKS):
-        import public_tokenizers
-        import regex
-
         self.special = special
-        self._encode, self._merge = tokenizer.encode, tokenizer.model.tokenize
-        self._split = regex.compile(public_tokenizers.PATTERN).findall
-        self._cache = _Cache(self.chunk, limit)
+        self._encode, self._merge, self._split = tokenizer.encode, tokenizer.model.tokenize, pre_tokens()
+        self._cache = Cache(self._made, limit)
         self._newline = len(self.whole("\n"))
 
     def whole(self, text: str) -> bytes:
@@ -164,13 +187,11 @@ class IdEncoder:
             return self.whole(chunk)
         ids: list[int] = []
         for pre_token in self._split(chunk):
-            ids += [t.id for t in self._merge(pre_token.encode().decode("latin-1").translate(_SPELL))]
+            ids += [t.id for t in self._merge(spelled(pre_token))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def chunk_length(self, chunk: str) -> int:
-        if max(chunk) >= _PLAIN_LIMIT:
-            return len(self.whole(chunk)) // 4
-        return sum(len(self._merge(p.encode().decode("latin-1").translate(_SPELL))) for p in self._split(chunk))
+    def _made(self, key: str) -> bytes:
+        return self.chunk(key if key[0] == "\n" else " " + key)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -195,10 +216,6 @@ def ranks_encoder(name: str) -> IdEncoder:
     return IdEncoder(ranks_tokenizer(name)[0])
 
 
-#: Letters and signs whose Unicode class has long been settled, so every engine's pattern agrees.
-_SETTLED = re.compile(r"[^\x00-\u024F\u0391-\u03A1\u03A3-\u03CE\u0400-\u0481\u05D0-\u05EA\u0620-\u064A\u2010-\u2027\u2030-\u205E\u20AC\u3001-\u3020\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3\uFF01-\uFF5E]")
-
-
 class BulkIds:
     """ids (numpy uint32) of whole texts as the tokenizers library gives them for a byte-level
     .json file, computed by tiktoken over the same merges where both surely agree: it needs a

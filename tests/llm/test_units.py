@@ -8,7 +8,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from slowscope.llm import bpe, bpe_codec, lm_score, packing, simhash, topk, toxicity
+from slowscope.llm import bpe, bpe_codec, lm_score, packing, simhash, token_counts, topk, toxicity
 
 TEXTS = ["", " ", "a", "Hello  world\n\n x", "don't 12 + é<|endoftext|>b", "\x1c\x85 a\xa0b", "😀 x 中文 ok", "a\nb c\n d", "x" * 3000, "tab\tand \n mix ", "naïve déjà-vu, vraiment!!! [ok]"]
 
@@ -34,6 +34,21 @@ def test_ids_of_any_text(text):
     assert bpe.bulk_ids("byte_bpe_50k.json")(text).tolist() == want
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([*" \n\t\r\x0b\x1c\xa0\u3000ab'.1é中😀", "<|endoftext|>"]), st.characters(exclude_categories=["Cs"])), max_size=40).map("".join))
+def test_counts_of_any_text(text):
+    """Tabs, blank lines, indentation and special strings take the table and the caches too."""
+    library = bpe.hf_tokenizer("byte_bpe_50k.json")
+    counter = token_counts.Counts("byte_bpe_50k.json", [" a", "b"], b"\x01\x01", limit=3)
+    for _ in range(2):
+        assert counter(text) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_irregular_texts_take_the_table():
+    counter = token_counts.Counts("byte_bpe_50k.json", ["def", " x", "\n   ", ":"], bytes([200, 100, 50, 25]))
+    assert counter("def x:\n    x") == 200 + 100 + 25 + 50 + 100
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \nab'.1é😀"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_codec_round_trip(text):
