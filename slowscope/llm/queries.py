@@ -63,7 +63,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents")))
-    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+        F.sha2(F.concat(*bpe_codec.OFFSETS), 256).alias("offsets_sha256"),
+        F.char_length("text").cast("long").alias("n_chars"),
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

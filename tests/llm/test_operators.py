@@ -54,12 +54,31 @@ def test_packing(docs, none):
 
 
 def test_codec(docs, none):
-    got = bpe_codec.decode(bpe_codec.encode(docs), with_text=True).collect()
-    assert sorted((r.text for r in got)) == sorted(t or "" for _, t, *_ in DOCS)
-    assert bpe_codec.encode_with_offsets(docs).count() == len(DOCS)
+    """Ids, byte and character ends as the library over the same ranks gives them, and the texts back."""
+    library, table = bpe.ranks_tokenizer("byte_bpe_50k.tiktoken")
+    got = bpe_codec.decode(bpe_codec.encode(docs)).collect()
+    numbers = lambda b: np.frombuffer(b, "<u4").tolist()
+    want = []
+    for i, t, *_ in DOCS:
+        t = t or ""
+        own = library.encode(t, add_special_tokens=False)
+        ends = np.cumsum([len(table[k]) for k in own.ids]).astype(int).tolist()
+        char_of = [k for k, c in enumerate(t) for _ in c.encode()]
+        starts = [0, *ends[:-1]] if ends else []
+        want.append((i, own.ids, ends, [char_of[b] for b in starts], [char_of[b - 1] + 1 for b in ends], t, t.encode()))
+    assert sorted(((r.doc_id, numbers(r.ids), numbers(r.byte_ends), numbers(r.char_starts), numbers(r.char_ends), r.text, bytes(r.bytes)) for r in got), key=repr) == sorted(want, key=repr)
     assert rows(bpe_codec.decode(bpe_codec.encode(none))) == []
 
 
+def test_codec_splits_characters_between_runs(spark, monkeypatch):
+    monkeypatch.setattr(bpe_codec, "PIECE", 1)
+    text = "😀 x 中文 é" * 50
+    df = spark.createDataFrame([(1, text, b"x"), (2, None, b"y")], "doc_id long, text string, bytes binary")
+    encoded = bpe_codec.encode(df).withColumn("bytes", F.lit("clash"))
+    assert sorted((r.doc_id, r.text) for r in bpe_codec.decode(encoded).collect()) == [(1, text), (2, "")]
+    assert [r.text for r in bpe_codec.decode(spark.createDataFrame([(None,)], "ids binary")).collect()] == [""]
+
+
 def test_near_duplicates(docs, none):
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     prints = [simhash.fingerprint(t) for _, t, *_ in DOCS]
