@@ -284,18 +284,20 @@ def test_base_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
 
 
-def test_top_k(spark):
-    data = [(i, [float((i * 7 + j * 3) % 11) / 4 - 1 for j in range(6)]) for i in range(120)] + [(200, None), (201, [1.0, None]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (None, [1.0] * 6), (3, [float((3 * 7 + j * 3) % 11) / 4 - 1 for j in range(6)]), (250, [1.0])]
+@pytest.mark.parametrize("sizes", [{}, {"block": 7, "query_block": 1, "n_pivots": 3}])
+def test_top_k(spark, sizes):
+    """Nulls, odd components, a short vector, ties, and repeated rows: each of another id is a candidate."""
+    own_of = lambda i: [float((i * 7 + j * 3) % 11) / 4 - 1 for j in range(6)]
+    data = [(i, own_of(i)) for i in range(120)] + [(200, None), (201, [1.0, None]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (None, [1.0] * 6), (3, own_of(3)), (50, own_of(50)), (250, [1.0]), (4, [3.0] * 6)]
     df = spark.createDataFrame([(i, v, 1) for i, v in data], "vec_id long, embedding array<float>, score int")
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df).collect())
-    own = {i: [math.floor(256 * x) for x in v] + [0] * (6 - len(v)) for i, v in data if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, **sizes).collect())
+    own = [(i, [math.floor(256 * x) for x in v] + [0] * (6 - len(v))) for i, v in data if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in own:
-        if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(own[q], own[c], strict=True)), c) for c in own if c != q)[:5]
-            want += [(q, k, c, -s) for k, (s, c) in enumerate(best, 1)]
+    for q, v in {i: v for i, v in own if i % 50 == 0}.items():
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for c, w in own if c != q)[:5]
+        want += [(q, k, c, -s) for k, (s, c) in enumerate(best, 1)]
     assert got == sorted(want)
-    assert rows(topk.top_k(df.limit(0))) == []
+    assert rows(topk.top_k(df.limit(0))) == [] and rows(topk.top_k(df.where("vec_id = 1"))) == []
 
 
 def test_toxicity(spark, none):

@@ -157,13 +157,32 @@ def test_exact_search():
     x[100:160] = x[100]  # ties
     ids = rng.permutation(500)
     top = float((x.astype(float) ** 2).sum(axis=1).max())
-    pivots = x[:10]
-    table = topk.pivot_distances(x, pivots, top, False)
-    got = topk.search(ids[:40], x[:40], ids, x, table, pivots, top, 5)
-    for i in range(40):
-        scores = x @ x[i]
-        want = sorted((-int(s), int(j)) for s, j in zip(scores, ids, strict=True) if j != ids[i])[:5]
-        assert [(-s, j) for q, j, s in got if q == ids[i]] == want
+    pivots = topk.far_apart(x, 10)
+    table = topk.pivot_distances(x, pivots, top, False).astype(np.float32)
+    for floors in (np.full(40, -np.inf), np.array([sorted(x @ x[i])[-30] for i in range(40)], float)):
+        got = topk.search(ids[:40], x[:40], floors, ids, x, table, pivots, top, 5)
+        for i in range(40):
+            want = sorted((-int(s), int(j)) for s, j in zip(x @ x[i], ids, strict=True) if j != ids[i])[:5]
+            assert [(-s, j) for q, j, s in got if q == ids[i]] == want
+
+
+def test_pivots_spare_most_evaluations_of_clustered_vectors():
+    rng = np.random.default_rng(2)
+    centers = rng.integers(-200, 200, (20, 32))
+    x = centers[rng.integers(0, 20, 4000)] + rng.integers(-6, 7, (4000, 32))
+    top = float((x.astype(float) ** 2).sum(axis=1).max())
+    pivots = topk.far_apart(x[:1000], 24)
+    assert len({tuple(np.round(p / 30)) for p in pivots.tolist() for p in [np.array(p)]}) >= 20  # one for each cluster
+    table, count = topk.pivot_distances(x, pivots, top, False).astype(np.float32), []
+    topk.search(np.arange(40), x[:40], np.full(40, -np.inf), np.arange(4000), x, table, pivots, top, 5, count)
+    assert len(count) == 40 and np.mean(count) < 0.35 * 4000
+
+
+@pytest.mark.parametrize("most", [1 << 10, 1 << 29, 1 << 40])
+def test_products_are_exact(most):
+    rng = np.random.default_rng(most)
+    x, q = rng.integers(-most, most, (50, 16)), rng.integers(-most, most, 16)
+    assert [int(v) for v in topk.products(x, q)] == [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in x]
 
 
 def small_model(counts, outside=()):
