@@ -3,15 +3,17 @@
 The categories are labelled columns, in chain order: low quality first, then toxic.  Each
 model sees the words of a text (presence) and the probabilities of the categories before it.
 In training those are out-of-fold: FOLDS models, each fitted without its fold, predict it.
-Equal texts share a fold.  Vocabulary: for each category the WORDS words that separate its
-labels best in the labelled sample (z-score of document shares, MIN_Z and
-MIN_DOCS documents at least).  Texts of equal words count once in the sample.
+Equal texts share a fold.  Vocabulary: every word of the labelled sample that separates the labels of
+a category (z-score of document shares of MIN_Z at least, in MIN_DOCS documents at least); its size
+has the sample's bound, and no other.  Texts of equal words count once in the sample.
 
 Fitting uses a bounded sample of about SAMPLE labelled rows, chosen by hash; every document is
-scored whole.  Null text has no words and gets the models' intercepts.  A label that is null
-counts as 0; several labels of one document count as their maximum.  A category without
-both labels in the sample has probability 0 for every document.  Repeated rows are scored
-each; further columns are dropped unless kept.
+scored whole, whatever its length.  Null text has no words and gets the models' intercepts.  A label
+that is null counts as 0; several labels of one document count as their maximum; a label without
+document, or of a null id, counts for nothing; other columns of the labels, whatever their names, are
+ignored.  A category without both labels in the sample, as with an empty table of labels, has
+probability 0 for every document.  An empty table gives no row.  Repeated rows are scored each;
+further columns are dropped unless kept.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from .common import blocks, release, written
 
 CATEGORIES = ("low_quality", "toxic")
 SAMPLE = 20_000
-WORDS = 1_000
 MIN_DOCS = 5
 MIN_Z = 5.0
 FOLDS = 5
@@ -116,7 +117,7 @@ def fit_chain(x: Sparse, labels: np.ndarray, fold: np.ndarray) -> list[np.ndarra
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     """y (array of 0/1 by category), words (array of binary) of about `size` labelled documents."""
     low = F.when(F.col("quality") == 0, 1).otherwise(0)
-    own = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(low).alias("y0"), F.max(F.coalesce("toxic", F.lit(0))).alias("y1"))
+    own = labels.select("doc_id", "quality", "toxic").where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(low).alias("y0"), F.max(F.coalesce("toxic", F.lit(0))).alias("y1"))
     own = written(own, "labels")
     share = min(1.0, size / max(own.count(), 1))
     chosen = own.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share * 1_000_000)  # about `size` rows: the broadcast below has that bound
@@ -148,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, size: int = SAMPLE) -> tuple[dict
             continue
         p = F.col("n") / n
         z = F.abs(F.col(c) / ones - (F.col("n") - F.col(c)) / (n - ones)) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / ones + 1 / (n - ones)))
-        for row in shares.select("word", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(WORDS).collect():
+        for row in shares.select("word", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").collect():  # words of a bounded sample
             vocabulary.setdefault(bytes(row["word"]), len(vocabulary))
 
     def places(batches):

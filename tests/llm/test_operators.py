@@ -309,3 +309,15 @@ def test_toxicity(spark, none):
     assert all(r.is_toxic == (r.doc_id % 5 == 0) for r in got if r.doc_id is not None and 150 <= r.doc_id < 200)
     assert not any(r.is_toxic for r in toxicity.score(docs, labels.limit(0)).collect())
     assert rows(toxicity.score(none, labels)) == []
+    # plain loops over the fitted models give the same probabilities; further and clashing columns of the labels change nothing
+    clashing = labels.withColumns({"text": F.lit("vile"), "words": F.lit(1), "y0": F.lit(9)})
+    vocabulary, models = toxicity.fit(docs.select("doc_id", "text"), labels)
+    for r in toxicity.score(docs, clashing, keep=("doc_id", "text", "p_toxic")).collect():
+        assert r[2] in range(7)
+        found, before = set((r.text or "").lower().replace("\n", " ").split()), []
+        for w in models:
+            z = w[-1] + sum(w[k] for v, k in vocabulary.items() if v.decode() in found) + sum(a * b for a, b in zip(w[len(vocabulary) : -1], before, strict=True)) if w is not None else None
+            before.append(1 / (1 + math.exp(-z)) if z is not None else 0.0)
+        assert abs(r[3] - before[0]) < 1e-9 and abs(r[4] - before[1]) < 1e-9
+    long = spark.createDataFrame([(5001, "word " * 200_000 + "vile", 0), (5002, "word " * 200_000 + "kind", 0)], docs.schema)
+    assert {r.doc_id: r.is_toxic for r in toxicity.score(docs.union(long), labels).where("doc_id > 5000").collect()} == {5001: True, 5002: False}

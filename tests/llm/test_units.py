@@ -284,5 +284,29 @@ def test_chain_on_held_out_rows():
     assert toxicity.fit_chain(x, np.zeros((2000, 2)), fold) == [None, None]
 
 
+def test_chain_is_fed_out_of_fold_probabilities():
+    """The second model equals one fitted on first probabilities that plain loops over the folds predict."""
+    rng = np.random.default_rng(4)
+    rows = [np.array(sorted(set(rng.integers(0, 30, 6).tolist()))) for _ in range(300)]
+    y = np.column_stack([[float(3 in r) for r in rows], [float(3 in r and 5 not in r) for r in rows]])
+    fold = rng.integers(0, toxicity.FOLDS, 300)
+    models = toxicity.fit_chain(toxicity.Sparse(rows, 30), y, fold)
+    out = np.zeros(300)
+    for f in range(toxicity.FOLDS):
+        train = [i for i in range(300) if fold[i] != f]
+        w = toxicity.fit_linear(toxicity.Sparse([rows[i] for i in train], 30), np.empty((len(train), 0)), y[train, 0])
+        for i in range(300):
+            if fold[i] == f:
+                out[i] = 1 / (1 + np.exp(-(sum(w[j] for j in rows[i]) + w[-1])))
+    assert np.allclose(models[1], toxicity.fit_linear(toxicity.Sparse(rows, 30), out[:, None], y[:, 1]), atol=1e-6)
+    # the gradient step of one model, densely
+    dense = np.zeros((300, 30))
+    for i, r in enumerate(rows):
+        dense[i, r] = 1
+    x = toxicity.Sparse(rows, 30)
+    v = rng.normal(size=30)
+    assert np.allclose(x.times(v), dense @ v) and np.allclose(x.back(out), dense.T @ out)
+
+
 def test_folds_match_crc32():
     assert zlib.crc32(b"12") % 7 == zlib.crc32(str(12).encode()) % 7
