@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import bpe
-from .common import blocks, pairs, release
+from .common import blocks, pairs, release, slices
 
 PIECE = 4096
 OFFSETS = ("byte_ends", "char_starts", "char_ends")
@@ -73,7 +73,7 @@ def decode(encoded: DataFrame, *, ranks: str = "byte_bpe_50k.tiktoken") -> DataF
 
     def run(batches):
         _, table = bpe.ranks_tokenizer(ranks)
-        for batch in batches:
+        for batch in slices(batches):
             raw, texts = [], []
             for ids in batch.column(place):
                 ids = ids.as_py() or b""

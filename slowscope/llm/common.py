@@ -64,6 +64,13 @@ def release() -> None:
         return
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows` rows, so what a function makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[object, str | None]]:
     """(first column, second column) row by row, without a Python list of a whole batch."""
     for batch in batches:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import blocks, pairs, release, written
+from .common import blocks, pairs, release, slices, written
 from .components import bounded, components
 
 RADIUS = 3
@@ -399,7 +399,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         n = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t.as_py(), words) for t in batch.column(at)]
             v, fp, bands = zip(*map(sketch, sets), strict=True) if sets else ((), (), ())
             own = [pa.array(v, pa.int64()), pa.array(fp, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(np.arange(n, n + len(sets)))]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, release, written
+from .common import blocks, release, slices, written
 
 CATEGORIES = ("low_quality", "toxic")
 SAMPLE = 20_000
@@ -191,7 +191,7 @@ def _scored(docs: DataFrame, labels: DataFrame, text_col: str, keep: tuple[str,
 
     def run(batches):
         vocabulary, models = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for t in batch.column(0):
                 at = [vocabulary[w] for w in words_of(t.as_py()) & vocabulary.keys()]
