@@ -1,8 +1,15 @@
 """A corpus pipeline of five stages; each is written as Parquet and reread as the next one's documents.
 
 Quality rules and toxicity drop the documents they reject, SimHash keeps one document of each
-group of near-duplicates, the secret scan replaces every secret in a text by a mark, and
-packing turns the rest into training sequences.
+group of near-duplicates (five-word shingles, a similarity of 0.8 or more), the secret scan replaces
+every secret in a text by a mark, and packing turns the rest into training sequences.
+
+Rows: a null text has no words and goes with the quality rules, as an empty one does.  A null id, language or
+source stays as it is.  Rows that repeat one another, ids included, are near-duplicates: one stays, the
+one of least id (a null id only if no other row has one; equal ids in the order they are read).  Texts
+of any length are worked on whole.  Further columns of documents, whatever their names, pass through
+all stages but the last; n_chars follows a masked text.
+Without labels nothing is toxic.  An empty table of documents gives no row at any stage.
 """
 
 from __future__ import annotations
