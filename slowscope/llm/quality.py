@@ -207,6 +207,14 @@ def assess(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", s
     return judged.select(*[F.col(a).alias(c) for c, a in names.items()], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "d2", "base_failed", "kept")
 
 
+def kept_rows(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of docs that are kept, with all columns, whatever their names."""
+    names = docs.columns
+    own = {c: f"c{i}" for i, c in enumerate(names)}
+    judged = assess(docs.toDF(*own.values()), text_col=own[text_col], lang_col=own[lang_col], source_col=own[source_col], keep=tuple(own.values()))
+    return judged.where("kept").select(*[F.col(a).alias(c) for c, a in own.items()])
+
+
 def oracle_sql() -> str:
     """The query's rows in DuckDB, from the texts, with the same steps."""
     d = range(len(STATS))
