@@ -22,7 +22,7 @@ from slowscope.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.assess(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    return quality.kept_rows(docs)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +35,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secrets.scan(docs, keep=tuple(docs.columns))
-    rows = found.select("spans", *[F.col(f"k_{c}").alias(c) for c in docs.columns])
-    rows = rows.withColumn("text", secrets.redacted(F.col("text"), F.col("spans")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    text = secrets.redacted(F.col("k_text"), F.col("spans"))
+    changed = {"text": text, "n_chars": F.when(F.size("spans") > 0, F.char_length(text).cast("long")).otherwise(F.col("k_n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return found.select(*[changed.get(c, F.col(f"k_{c}")).alias(c) for c in docs.columns])
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
