@@ -272,3 +272,55 @@ def test_empty_table(spark):
 def test_null_records_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, "x"), (entry("SELECT 1;"), "y")], "record string, note string")
     assert sorted((r.note, r.sql) for r in entries.parse(df).collect() if r.sql) == [("y", "SELECT 1")]
+
+
+NOTE = "SELECT 1;"
+#: quirk of the format -> (record, what its entry must hold)
+QUIRKS = {
+    "Q1 versioned comment": (entry("/*!40101 SET NAMES utf8 */;"), {"statement_kind": "invalid", "sql": "/*!40101 SET NAMES utf8 */;", "sql_type": None}),
+    "Q2 admin command of two words": (entry("# administrator command: Init DB;"), {"statement_kind": "admin", "sql": "Init DB"}),
+    "Q3 comment without pairs": (entry("-- note to self; really\nSELECT 1;"), {"statement_kind": "sql", "sql": "SELECT 1", "comment_map": None}),
+    "Q3 comment with a key twice": (entry("-- a: 1, a: 2\nSELECT 1;"), {"statement_kind": "sql", "sql": "SELECT 1", "comment_map": None}),
+    "Q4 comment ends at its line": (entry("-- a: 1,\nSELECT b: 2;"), {"comment_map": {"a": "1"}}),
+    "Q4 bare comment": (entry("--\nSELECT 1;"), {"statement_kind": "sql", "sql": "SELECT 1"}),
+    "Q5 other quote inside a string": (entry("SELECT \"it's\", 'say \"';\nSELECT 2;"), {"statement_kind": "sql", "_trailing": "SELECT 2;"}),
+    "Q6 second statement": (entry("SELECT 1; SELECT 2;"), {"sql": "SELECT 1", "_trailing": "SELECT 2;"}),
+    "Q7 truncated in the session line": (entry(NOTE)[:50], {"statement_kind": None, "_corrupt_reason": "user"}),
+    "Q7 truncated in the statement": (entry("SELECT 'open"), {"statement_kind": None, "_corrupt_reason": "incomplete sql"}),
+    "Q8 hosts of any form": (entry(NOTE, user="a-b.c[] @ db-2_x.h9 [fe80::1]  Id: 1"), {"user_name": "a-b.c", "sys_user_name": "", "host_name": "db-2_x.h9", "ip_address": "fe80::1"}),
+    "Q9 further statistics": (entry(NOTE, stats="Query_time: 1.5  Lock_time: 0.0 Rows_sent: 3  Rows_examined: 4 Thread_id: 9 Errno: 0"), {"rows_examined": 4, "extra": "Thread_id: 9 Errno: 0"}),
+    "Q10 fraction and backticks": (entry(NOTE, use="use `a b`;\n", stamp="SET timestamp=12.9;"), {"set_timestamp": 12, "use_database": "a b"}),
+    "Q12 backticks stay": (entry("SELECT 1 FROM `t`, t;"), {"objects": [(None, "`t`"), (None, "t")]}),
+    "Q13 names of WITH count": (entry("WITH c AS (SELECT 1 FROM t) SELECT * FROM c;"), {"objects": [(None, "c"), (None, "t")]}),
+    "Q14 three parts": (entry("SELECT 1 FROM a.b.c;"), {"objects": [(None, "c")]}),
+    "Q15 unlock": (entry("UNLOCK TABLES;"), {"sql_type": "LOCK TABLES"}),
+    "Q15 every drop": (entry("DROP VIEW v;"), {"sql_type": "DROP TABLE"}),
+    "Q16 milliseconds are cut": (entry(NOTE, time="2018-02-05T02:46:47.999999Z"), {"log_time": dt.datetime(2018, 2, 5, 2, 46, 47, 999000)}),
+    "Q17 other comments aren't read": (entry("/* a: 1 */ SELECT 1; -- b: 2"), {"sql": "SELECT 1", "comment_map": None}),
+    "Q18 no context without a valid statement": (entry("-- request_id: r1\nnot sql;"), {"statement_kind": "invalid", "context": None, "comment_map": {"request_id": "r1"}}),
+    "Q18 context of a valid one": (entry("-- request_id: r1, line: x\nSELECT 1;"), {"context": ("r1", None, None, None)}),
+}
+
+
+@pytest.fixture(scope="module")
+def quirks(spark):
+    return dict(zip(QUIRKS, parse(spark, *[record for record, _ in QUIRKS.values()]), strict=True))
+
+
+@pytest.mark.parametrize("name", QUIRKS)
+def test_quirks(quirks, name):
+    plain = lambda v: [tuple(o) for o in v] if isinstance(v, list) else v
+    assert {k: plain(quirks[name][k]) for k in QUIRKS[name][1]} == QUIRKS[name][1]
+
+
+def test_quirk_11_masking_never_falls_back(spark):
+    (row,) = parse(spark, entry("CREATE TABLE t (a char(10) DEFAULT 'secret'"), masking="placeholder")
+    assert row.sql is None or "secret" not in row.sql
+    (row,) = parse(spark, entry("gibberish 'secret' 12;"), masking="placeholder")
+    assert (row.statement_kind, row.sql) == ("invalid", "gibberish ? ?;")
+
+
+def test_quirk_19_port_is_optional(spark):
+    df = spark.createDataFrame([(HEADER.replace("Tcp port: 12345  ", ""),)], "record string")
+    (row,) = entries.headers(df).collect()
+    assert (row.tcp_port, row.socket) == (None, "/tmp/12345/mysql.sock")
