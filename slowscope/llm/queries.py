@@ -62,13 +62,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents")))
-    return decoded.select(
+    encoded = bpe_codec.encode(table(spark, sf_dir, "documents"))
+    encoded = encoded.withColumn("offsets_sha256", F.sha2(F.concat(*bpe_codec.OFFSETS), 256)).drop(*bpe_codec.OFFSETS)  # digested before they would travel on
+    return bpe_codec.decode(encoded).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
-        F.sha2(F.concat(*bpe_codec.OFFSETS), 256).alias("offsets_sha256"),
+        "offsets_sha256",
         F.char_length("text").cast("long").alias("n_chars"),
     )
 
