@@ -40,7 +40,7 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 STATS = ("x0", "x1", "x2", "x3")
-FLOORS = (0.10, 0.08, 0.08, 0.05)  # standard deviations added for: log word length, root symbols a word, repeated lines, repeated words
+FLOORS = (0.10, 0.08, 0.08, 0.07)  # standard deviations added for: log word length, root symbols a word, repeated lines, repeated words
 UNIT = 1000
 SUBSET = 0.75
 CONSISTENCY = 1.486  # SUBSET / P(chi2 with 6 <= the SUBSET quantile of chi2 with 4)
