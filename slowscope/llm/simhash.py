@@ -16,9 +16,12 @@ a bucket yields a spanning star of each of its components, never all pairs.
 `deduplicate` links by likeness instead: two texts whose sets of five-word shingles have a
 Jaccard similarity of 0.8 or more.  Such pairs differ in about 10 of 64 bits, for which no split
 into blocks gives keys of a useful length, so its tables are keyed by BANDS bands of BAND_ROWS
-min-hashes (a pair at 0.8 shares none of them with probability 3e-5).  In a bucket the fingerprints,
-here of the distinct shingles, are compared by the same planes within WIDE_RADIUS; the pairs left
-are decided by the Jaccard similarity of the whole shingle sets.
+min-hashes (a pair at 0.8 shares none of them with probability 3e-5).  Candidates share a band and
+lie within WIDE_RADIUS by the fingerprints, here of the distinct shingles; they are decided by the
+Jaccard similarity of the whole shingle sets.  Candidates never travel as pairs, whose number grows
+with the square of a group: a bucket yields a spanning star of each component of its candidates,
+the sets of a component meet, and there its candidates are found again and decided, which yields
+only edges that join something new.
 
 Null and empty texts have fingerprint zero and link like any other.  Repeated rows share a
 fingerprint.  A null doc_id stays null and is no candidate for a component's id.
@@ -32,7 +35,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
@@ -130,17 +133,6 @@ def stars(fps: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
     return [star for a, b, links in _linked(fps, starts, RADIUS) for star in _spread(fps[a:b], links)]
 
 
-def near_pairs(fps: np.ndarray, starts: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, rows): all pairs of rows of one group within the radius, some at a time; groups as in stars."""
-    for a, b, links in _linked(fps, starts, radius):
-        step = max(1, (1 << 22) // (64 * links.shape[1]))
-        for i in range(0, b - a, step):
-            bits = np.unpackbits(links[i : i + step].astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, : b - a]
-            x, y = np.nonzero(bits)
-            x += i
-            yield a + x[x < y], a + y[x < y]
-
-
 def _linked(fps: np.ndarray, starts: np.ndarray, radius: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first row, end, link bits) of each group that has a link."""
     sizes = np.diff(starts, append=len(fps))
@@ -237,21 +229,21 @@ def _cells(keyed: DataFrame, vertex: str, bucket: int) -> DataFrame:
     return cells.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b")
 
 
-def _groups(batches) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """(columns after the four of the cell, first row of each cell), cells of two rows or more."""
+def _groups(batches, keys: int = 4) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(columns after the key columns of the cell, first row of each cell), cells of two rows or more."""
     held: list[np.ndarray] = []
 
     def grouped(columns):
         new = np.zeros(len(columns[0]), bool)
         new[:1] = True
-        for c in columns[:4]:
+        for c in columns[:keys]:
             new[1:] |= c[1:] != c[:-1]
         first = np.flatnonzero(new)
         size = np.diff(first, append=len(new))
         keep = np.repeat(size > 1, size)
         size = size[size > 1]
         if len(size):
-            yield [c[keep] for c in columns[4:]], np.cumsum(size) - size
+            yield [c[keep] for c in columns[keys:]], np.cumsum(size) - size
 
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
@@ -259,7 +251,7 @@ def _groups(batches) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
         if not len(columns[0]):
             continue
         last = np.ones(len(columns[0]), bool)
-        for c in columns[:4]:
+        for c in columns[:keys]:
             last &= c == c[-1]
         cut = int(np.argmax(last))  # rows from here on may go on in the next batch
         yield from grouped([c[:cut] for c in columns])
@@ -332,61 +324,123 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def candidates(distinct: DataFrame, bucket: int = BUCKET, radius: int = WIDE_RADIUS) -> DataFrame:
-    """v, fp, n, bands -> (u, v): pairs that share a band, lie within the radius and are near enough in size."""
+    """v, fp, n, bands -> (u, v): edges that join all pairs that share a band, lie within the radius and are near enough in size.
+
+    A bucket gives each row to one edge at most.  Rows of a bucket of more than `bucket` sets are joined
+    without a comparison: that only lets more sets meet, where the same pairs are decided."""
     keyed = distinct.select("v", "fp", "n", F.posexplode("bands").alias("t", "key")).select("t", "key", "v", "fp", "n")
-    cells = _cells(keyed, "v", bucket)
+    hot = keyed.groupBy("t", "key").agg(F.count("*").alias("rows"), F.min("v").alias("least")).where(F.col("rows") > bucket)
+    hot = written(hot.select("t", "key", "least"), "hot-buckets")
+    keyed = keyed.join(bounded(hot, hot.count()), ["t", "key"], "left")
+    whole = keyed.where("v != least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    cells = keyed.where("least IS NULL").select("t", "key", "v", "fp", "n").repartition("t", "key").sortWithinPartitions("t", "key")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    over, under = SIMILARITY
 
-    def compare(batches):
-        for (v, fp, n), starts in _groups(batches):
-            for x, y in near_pairs(fp, starts, radius):
-                sized = under * np.minimum(n[x], n[y]) >= over * np.maximum(n[x], n[y])
-                x, y = v[x[sized]], v[y[sized]]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
+    def edges(v, fp, n, starts):
+        for a, b, links in _linked(fp, starts, radius):
+            yield from _spread(v[a:b], links & _sized(n[a:b], links.shape[1]))
 
-    return cells.mapInArrow(compare, "u long, v long").distinct()
+    def compare(batches):
+        for (v, fp, n), starts in _groups(batches, 2):
+            yield from blocks(edges(v, fp, n, starts), schema)
 
+    return cells.mapInArrow(compare, "u long, v long").union(whole).distinct()
 
-def alike_edges(found: DataFrame, sets: DataFrame, groups: DataFrame, cell: int = CELL) -> DataFrame:
-    """(u, v): edges between alike sets that join all candidates (u, v) which are alike by their whole sets.
 
-    groups (v, root): components of the candidates.  The sets (v, shingles) of a component travel once
-    to the task that decides its candidates, where pairs joined already are passed over; a component of
-    more than `cell` sets is dealt into blocks whose pairs are decided by different tasks."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    sizes = written(groups.groupBy("root").agg(F.ceil(F.count("*") / cell).cast("int").alias("nb")), "candidate-groups")
-    sized = groups.join(bounded(sizes, sizes.count()), "root")
-    dealt = written(sized.select("v", "root", "nb", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int").alias("own")), "dealt-sets")
-    n = dealt.count()
-    of_u = bounded(dealt.select(F.col("v").alias("u"), "root", F.col("own").alias("x")), n)
-    of_v = bounded(dealt.select("v", F.col("own").alias("y")), n)
-    asked = found.join(of_u, "u").join(of_v, "v").select("root", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "u", "v")
-    held = sets.join(bounded(dealt, n), "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    held = held.select(F.col("root").alias("root_"), F.least("own", "other").alias("a_"), F.greatest("own", "other").alias("b_"), "v", "shingles")
-
-    def decide(asked: pa.Table, held: pa.Table) -> pa.Table:
-        at = {v: k for k, v in enumerate(held["v"].to_pylist())}
-        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in held["shingles"]]
-        top = list(range(len(own)))
-
-        def root(k):
-            while top[k] != k:
-                top[k] = top[top[k]]
-                k = top[k]
-            return k
-
-        us, vs = [], []
-        for u, v in zip(asked["u"].to_pylist(), asked["v"].to_pylist(), strict=True):
-            x, y = root(at[u]), root(at[v])
-            if x != y and alike(own[at[u]], own[at[v]]):
-                top[y] = x
-                us.append(u)
-                vs.append(v)
-        return pa.table([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=schema)
-
-    return asked.groupBy("root", "a", "b").cogroup(held.groupBy("root_", "a_", "b_")).applyInArrow(decide, "u long, v long")
+def _near_in_size(n: np.ndarray, m: np.ndarray | np.int64) -> np.ndarray:
+    over, under = SIMILARITY
+    return under * np.minimum(n, m) >= over * np.maximum(n, m)
+
+
+def _sized(n: np.ndarray, n_words: int) -> np.ndarray:
+    """Bits of the members near enough in size, laid out as the link bits."""
+    bits = np.zeros((len(n), 64 * n_words), bool)
+    bits[:, : len(n)] = _near_in_size(n[:, None], n)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
+
+
+def decide(held: pa.Table, radius: int = WIDE_RADIUS) -> pa.Table:
+    """Rows of one cell (root, a, b, own, class, v, fp, bands, shingles) -> (root, u, v): edges that join its alike candidates.
+
+    Rows of one class are joined already.  In a cell of two blocks (a, b) only pairs across them are decided."""
+    v, own, label, fp = (held[c].to_numpy().copy() for c in ("v", "own", "class", "fp"))
+    fp = fp.view(np.uint64)
+    bands = held["bands"].combine_chunks().flatten().to_numpy().reshape(len(v), BANDS)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in held["shingles"]]
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    across = held["a"][0].as_py() != held["b"][0].as_py() if len(v) else False
+    us, vs = [], []
+    for x in range(len(v) - 1):
+        y = x + 1 + np.flatnonzero(label[x + 1 :] != label[x])
+        if across:
+            y = y[own[y] != own[x]]
+        y = y[(np.bitwise_count(fp[y] ^ fp[x]) <= radius) & _near_in_size(n[y], n[x])] if len(y) else y
+        y = y[(bands[y] == bands[x]).any(axis=1)] if len(y) else y
+        for z in y.tolist():
+            if label[z] != label[x] and alike(sets[x], sets[z]):
+                label[label == label[z]] = label[x]
+                us.append(int(v[x]))
+                vs.append(int(v[z]))
+    root = held["root"][0].as_py() if len(v) else None
+    return pa.table([pa.array([root] * len(us), pa.int64()), pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["root", "u", "v"])
+
+
+def _decided(held: DataFrame) -> DataFrame:
+    held = held.select("root", "a", "b", "own", "class", "v", "fp", "bands", "shingles")
+    return held.groupBy("root", "a", "b").applyInArrow(lambda rows: decide(rows), "root long, u long, v long")
+
+
+def _in_blocks(rows: DataFrame, cell: int) -> DataFrame:
+    """rows (v, root) with own, a and b: each root's rows dealt into blocks of about `cell`, compared within them."""
+    sizes = written(rows.groupBy("root").agg(F.ceil(F.count("*") / cell).cast("int").alias("nb")), "group-sizes")
+    own = F.pmod(F.xxhash64("v"), F.col("nb")).cast("int")
+    return rows.join(bounded(sizes, sizes.count()), "root").withColumn("own", own).withColumn("a", F.col("own")).withColumn("b", F.col("own"))
+
+
+def joined_blocks(large: DataFrame, sets: DataFrame, edges: DataFrame, cell: int = CELL) -> DataFrame:
+    """(root, u, v): edges that join, beside `edges`, the alike candidates of different blocks.
+
+    large (v, root): members of the components of several blocks; sets (v, fp, bands, shingles): theirs; edges
+    (root, u, v): what their blocks have joined.  One row of each joined class meets those of the other
+    classes, again in blocks, as long as that halves the classes; a group of copies alike is one class
+    then, by rows in proportion to its size.  If several classes are left in a component, all its members
+    of different classes are compared, block by block: a class of more than `cell` has blocks of
+    its own, whose pairs are passed over."""
+    roots = written(large.select("root").distinct(), "large-roots")
+    found = written(edges.join(bounded(roots, roots.count()), "root", "left_semi"), "large-edges")
+    before, more = large.count(), found.limit(0)
+    while True:
+        of = written(components(found.select("u", "v")).withColumnRenamed("root", "class"), "classes")
+        member = written(large.join(bounded(of, of.count()), "v", "left").withColumn("class", F.coalesce("class", "v")), "members")
+        open_ = written(member.where("v = class").groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "open-groups")
+        n_open = open_.count()
+        member = member.join(bounded(open_, n_open), "root", "left_semi")
+        firsts = written(member.where("v = class"), "firsts")
+        now = firsts.count()
+        if not n_open:
+            return more
+        if 2 * now > before:
+            break
+        held = written(_in_blocks(firsts, cell), "dealt-firsts")
+        new = written(_decided(sets.join(bounded(held, now), "v")), "alike")
+        before, more, found = now, more.union(new), found.union(new)
+    member = written(member, "open-members")
+    sizes = written(member.groupBy("root", "class").agg(F.count("*").alias("size")).where(F.col("size") > cell).select("root", "class"), "large-classes")
+    sizes = sizes.withColumn("pool", F.col("class"))
+    member = member.join(bounded(sizes, sizes.count()), ["root", "class"], "left").select("v", "root", "class", F.col("pool").isNotNull().alias("pure"), F.coalesce("pool", F.lit(0)).alias("pool"))
+    pools = written(member.groupBy("root", "pure", "pool").agg(F.ceil(F.count("*") / cell).cast("int").alias("nb")), "pools")
+    until = F.sum("nb").over(Window.partitionBy("root").orderBy("pure", "pool").rowsBetween(Window.unboundedPreceding, 0))
+    pools = written(pools.withColumn("first", (until - F.col("nb")).cast("int")), "numbered-pools")
+    block = written(pools.withColumn("own", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("nb") - 1))).select("root", "own", "pure", "pool"), "blocks")
+    n = block.count()
+    other = bounded(block.toDF("root_", "b", "pure_", "pool_"), n)
+    met = (F.col("root") == F.col("root_")) & (F.col("a") <= F.col("b")) & ~(F.col("pure") & F.col("pure_") & (F.col("pool") == F.col("pool_")))
+    cells = written(block.withColumnRenamed("own", "a").join(other, met).select("root", "a", "b"), "cells")
+    sides = written(cells.withColumn("own", F.explode(F.array_distinct(F.array("a", "b")))), "sides-of-cells")
+    own = (F.col("first") + F.pmod(F.xxhash64("v", F.lit(1)), F.col("nb"))).cast("int")
+    member = member.join(bounded(pools, pools.count()), ["root", "pure", "pool"]).select("v", "root", "class", own.alias("own"))
+    held = member.join(bounded(sides, sides.count()), ["root", "own"])
+    return more.union(_decided(sets.join(held, "v")))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bucket: int = BUCKET, cell: int = CELL) -> DataFrame:
@@ -407,19 +461,32 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             n += len(sets)
         release()
 
+    def with_shingles(batches):
+        for batch in slices(batches, 64):
+            sets = pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column(5)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], sets], [*batch.schema.names[:5], "shingles"])
+        release()
+
+    def sets_of(chosen: DataFrame) -> DataFrame:
+        texts = rows.join(bounded(chosen, chosen.count()), rows["_uid"] == chosen["uid"])
+        texts = texts.select("root", "own", F.col("_v").alias("v"), F.col("_fp").alias("fp"), F.col("_bands").alias("bands"), F.col(f"k{at}").alias("text"))
+        return texts.mapInArrow(with_shingles, "root long, own int, v long, fp long, bands array<long>, shingles binary")
+
     rows = written(docs.mapInArrow(run, shape), "fingerprinted")
     place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col("_uid").alias("uid"))
     light = rows.select(F.col("_v").alias("v"), place.alias("place"))
     firsts = rows.groupBy(F.col("_v").alias("v")).agg(F.min(place).alias("place"), *[F.first(f"_{c}").alias(c) for c in ("fp", "n", "bands")])
     distinct = written(firsts, "distinct-sets")
-    found = written(candidates(distinct, bucket), "candidates")
-    groups = written(components(found), "candidate-components").select("v", "root")
-    touched = written(groups.join(distinct, "v").select("v", F.col("place.uid").alias("uid")), "touched")
-    texts = rows.join(bounded(touched, touched.count()), rows["_uid"] == touched["uid"]).select("v", F.col(f"k{names.index(text_col)}").alias("text"))
-    schema = pa.schema([("v", pa.int64()), ("shingles", pa.binary())])
-    sets = written(texts.mapInArrow(lambda batches: blocks(((v, shingle_set(t, words).tobytes()) for v, t in pairs(batches)), schema), "v long, shingles binary"), "shingle-sets")
-    edges = written(alike_edges(found, sets, groups, cell), "alike")
-    roots = written(components(edges), "roots").select("v", "root")
+    groups = written(components(written(candidates(distinct, bucket), "candidates")).select("v", "root"), "candidate-components")
+    touched = _in_blocks(groups, cell).join(distinct.select("v", F.col("place.uid").alias("uid")), "v")
+    touched = written(touched.select("v", "root", "own", "nb", "uid"), "touched")
+    sets = sets_of(touched.select("uid", "root", "own")).withColumn("a", F.col("own")).withColumn("b", F.col("own")).withColumn("class", F.col("v"))
+    edges = written(_decided(sets), "alike")
+    large = touched.where("nb > 1")
+    if not large.isEmpty():
+        sets = written(sets_of(large.select("uid", "root", "own")).select("v", "fp", "bands", "shingles"), "shingle-sets")
+        edges = edges.union(joined_blocks(large.select("v", "root"), sets, edges, cell))
+    roots = written(components(edges.select("u", "v")), "roots").select("v", "root")
     of_set = written(distinct.select("v", "place").join(bounded(roots, roots.count()), "v", "left").select("v", "place", F.coalesce("root", "v").alias("root")), "root-of-set")
     first = written(of_set.groupBy("root").agg(F.min("place").alias("place")).select("root", F.col("place.uid").alias("kept")), "kept")
     of_set = written(of_set.join(bounded(first, first.count()), "root").select("v", "kept"), "kept-of-set")

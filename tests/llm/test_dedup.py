@@ -59,3 +59,55 @@ def test_alike_at_the_border():
     ten = simhash.np.arange(10, dtype="uint64")
     assert simhash.alike(ten[:8], ten) and not simhash.alike(ten[:7], ten)
     assert simhash.alike(ten[:9], ten[1:][:9]) and not simhash.alike(ten[:8], ten[2:])
+
+
+def copies(n, words, rng, changed=1):
+    """n texts, each with `changed` words of its own in place of others."""
+    out = []
+    for k in range(n):
+        own = list(words)
+        for at in rng.sample(range(len(own)), changed):
+            own[at] = f"own{rng.randrange(10**9)}x{k}"
+        out.append(" ".join(own))
+    return out
+
+
+def sketched(spark, texts):
+    found = {}
+    for t in texts:
+        s = simhash.shingle_set(t)
+        v, fp, bands = simhash.sketch(s)
+        found[v] = (v, fp, len(s), bands.tolist())
+    return spark.createDataFrame(list(found.values()), "v long, fp long, n int, bands array<long>")
+
+
+@pytest.mark.parametrize("bucket", [16, 1024])
+def test_candidates_follow_the_sets_not_their_pairs(spark, bucket):
+    rng = random.Random(3)
+    texts = copies(200, [f"w{k}" for k in range(150)], rng) + [" ".join(f"x{rng.randrange(10**9)}" for _ in range(60)) for _ in range(20)]
+    edges = [(r.u, r.v) for r in simhash.candidates(sketched(spark, texts), bucket).collect()]
+    assert len(edges) <= simhash.BANDS * 200 < 200 * 199 // 2  # all pairs of the copies are candidates
+    joined = simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert len(joined) == 200 and len({r.root for r in joined}) == 1
+
+
+def test_groups_of_many_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    other = [f"o{k}" if k % 30 == 0 else w for k, w in enumerate(base)]  # its copies are near the base's, but not alike
+    chain = [list(base)]
+    for k in range(30):
+        chain.append([f"c{k}" if j == 119 - 4 * k else w for j, w in enumerate(chain[-1])])
+    chain = [" ".join(w) for w in chain[1:]]
+    texts = copies(60, base, rng) + copies(40, other, rng) + chain[4:]
+    docs = [(k, t) for k, t in enumerate(texts)]
+    rng.shuffle(docs)
+    want, pairs = kept_by_brute_force([(k, t) for k, t in enumerate(texts)])
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.deduplicate(df, bucket=64, cell=8).collect()} == want
+    met = []
+    decided = simhash._decided
+    monkeypatch.setattr(simhash, "_decided", lambda held: met.append(held.count()) or decided(held))
+    alike = spark.createDataFrame(list(enumerate(copies(100, base, rng))), "doc_id long, text string")
+    assert simhash.deduplicate(alike, cell=8).count() == 1
+    assert 100 <= sum(met) <= 200  # sets sent to be compared; every block with every other would be 1,300
