@@ -329,9 +329,9 @@ def candidates(distinct: DataFrame, bucket: int = BUCKET, radius: int = WIDE_RAD
     A bucket gives each row to one edge at most.  Rows of a bucket of more than `bucket` sets are joined
     without a comparison: that only lets more sets meet, where the same pairs are decided."""
     keyed = distinct.select("v", "fp", "n", F.posexplode("bands").alias("t", "key")).select("t", "key", "v", "fp", "n")
-    hot = keyed.groupBy("t", "key").agg(F.count("*").alias("rows"), F.min("v").alias("least")).where(F.col("rows") > bucket)
-    hot = written(hot.select("t", "key", "least"), "hot-buckets")
-    keyed = keyed.join(bounded(hot, hot.count()), ["t", "key"], "left")
+    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("rows"), F.min("v").alias("least")).where("rows > 1")
+    shared = written(shared.select("t", "key", F.when(F.col("rows") > bucket, F.col("least")).alias("least")), "shared-buckets")
+    keyed = written(keyed.join(bounded(shared, shared.count()), ["t", "key"]), "rows-of-buckets")
     whole = keyed.where("v != least").select(F.col("v").alias("u"), F.col("least").alias("v"))
     cells = keyed.where("least IS NULL").select("t", "key", "v", "fp", "n").repartition("t", "key").sortWithinPartitions("t", "key")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
