@@ -56,7 +56,9 @@ def parse(
     df = once(records.where(text.rlike(r"\S") & ~start), _f=lines.fields(text))
     body = f("body")
     admin = lines.admin_command(body)
-    df = once(df, _time=lines.instant(f("time")), _admin=admin, _raw=F.when(admin.isNull(), lines.statement(lines.without_comment(body))))
+    df = once(df, _time=lines.instant(f("time")), _admin=admin, _own=lines.without_comment(body), _comment=lines.leading_comment(body))
+    df = once(df, _raw=F.when(F.col("_admin").isNull(), F.regexp_extract("_own", lines.STATEMENT, 1)), _pairs=comments.comment_map(F.col("_comment")))
+    df = df.withColumn("_raw", F.nullif("_raw", F.lit("")))
     good = F.col("_time").isNotNull() & (F.col("_admin").isNotNull() | F.col("_raw").isNotNull())
     df = df.withColumn("_good", F.coalesce(good, F.lit(False)))
     if mode == "DROPMALFORMED":
@@ -67,7 +69,7 @@ def parse(
     df = df.withColumn("_a", F.when(ok & F.col("_raw").isNotNull(), sql_analysis.analysis(F.col("_raw"), masking)))
     bare_admin = F.col("_admin").isNotNull() & (F.lit(not compat) | F.col("_admin").rlike("^[A-Za-z0-9]+$"))
     kind = F.when(bare_admin, ADMIN).when(F.col("_a.valid"), SQL).otherwise(INVALID)
-    pairs = F.when(ok, comments.comment_map(lines.leading_comment(body)))
+    pairs = F.when(ok, F.col("_pairs"))
     objects = F.col("_a.objects")
     if strip_identifier_quotes:
         bare = lambda c: F.regexp_replace(c, "^`(.*)`$", "$1")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slowscope.operators.entries import once
+
 
 def _body() -> Column:
     e, u, i = F.col("event_type"), F.col("user_id").cast("string"), F.col("event_id").cast("string")
@@ -66,7 +68,7 @@ def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("SET timestamp="), F.unix_seconds(ts).cast("string"), F.when(F.col("event_id") % 7 == 0, ".250").otherwise(""), F.lit(";\n"),
         F.replace(chosen([s for s, _ in STATEMENTS]), F.lit("{e}"), F.concat(F.lit("`"), F.col("event_type"), F.lit("`"))), F.lit(";"),
     )
-    return events.select("event_id", text.alias("record"))
+    return once(events, record=text).select("event_id", "record")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +86,4 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\n"), F.when(F.col("event_id") % 5 == 0, "use shop;\n").otherwise(""),
         F.lit("SET timestamp="), F.unix_seconds(ts).cast("string"), F.lit(";\n"), _body(),
     )
-    return events.select("event_id", text.alias("record"))
+    return once(events, record=text).select("event_id", "record")

@@ -333,3 +333,20 @@ def test_quirk_19_port_is_optional(spark):
     df = spark.createDataFrame([(HEADER.replace("Tcp port: 12345  ", ""),)], "record string")
     (row,) = entries.headers(df).collect()
     assert (row.tcp_port, row.socket) == (None, "/tmp/12345/mysql.sock")
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("query", [queries.a8_context, queries.a2_mask, queries.x1_top_fingerprints])
+def test_a_filter_on_the_analysis_does_not_run_it_again(spark, query):
+    plan = executed(query(spark, "/root/testdata/sf0.001"))
+    assert plan.count("ArrowEvalPython") == 1
+    assert plan.count("date_format(") == 1  # the rendered text too is made once a row
+
+
+def test_comment_pairs_and_statements_are_found_once_a_row(spark):
+    plan = executed(queries.a8_context(spark, "/root/testdata/sf0.001"))
+    assert plan.count("map_from_entries(") == 1
+    assert plan.count(r"`[^`]*+`|/\*.*?\*/") == 1
