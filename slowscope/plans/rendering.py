@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from slowscope.operators.entries import once
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, dealt out anew: a Parquet file is read in as many tasks as it has row groups, which may be one."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+    return events.repartition(2 * spark.sparkContext.defaultParallelism)
+
+
 def _body() -> Column:
     e, u, i = F.col("event_type"), F.col("user_id").cast("string"), F.col("event_id").cast("string")
     bodies = [
@@ -54,7 +60,7 @@ def chosen(values: list[str | None]) -> Column:
 
 def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, record: statements, sessions, offsets, databases and further statistics of many forms."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+    events = _events(spark, sf_dir)
     ts = F.col("ts").cast("timestamp")
     minutes = F.coalesce(chosen([str(m or 0) for _, m in OFFSETS]).cast("int"), F.lit(0))
     local = F.timestamp_seconds(F.unix_micros(ts) / 1_000_000 + minutes * 60)
@@ -73,7 +79,7 @@ def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, record."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+    events = _events(spark, sf_dir)
     ts = F.col("ts").cast("timestamp")
     user = F.col("user_id").cast("string")
     text = F.concat(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from slowscope.functions import comments
 from slowscope.operators import entries
-from slowscope.plans import analytics, queries
+from slowscope.plans import analytics, queries, rendering
 from slowscope.sources import slowlog
 from slowscope.streaming import stream
 
@@ -350,3 +350,9 @@ def test_comment_pairs_and_statements_are_found_once_a_row(spark):
     plan = executed(queries.a8_context(spark, "/root/testdata/sf0.001"))
     assert plan.count("map_from_entries(") == 1
     assert plan.count(r"`[^`]*+`|/\*.*?\*/") == 1
+
+
+def test_events_of_one_row_group_are_rendered_in_many_tasks(spark):
+    for df in (rendering.records(spark, "/root/testdata/sf0.001"), rendering.varied(spark, "/root/testdata/sf0.001")):
+        tasks = df.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 4 and max(n for _, n in tasks) < 2 * sum(n for _, n in tasks) / len(tasks)
