@@ -48,11 +48,6 @@ def instant(text: Column) -> Column:
     return F.when(text.endswith("Z") | text.rlike(r"[+-]\d{2}:?\d{2}$"), text).otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp")
 
 
-def log_time(text: Column) -> Column:
-    """instant(), cut to milliseconds."""
-    return F.date_trunc("MILLISECOND", instant(text))
-
-
 def corrupt_reason(text: Column, parts: Column) -> Column:
     """Why a text that isn't blank is no entry: time, user, stats, incomplete sql or incomplete log; parts: its fields()."""
     cut = F.lit("incomplete log")
@@ -88,9 +83,9 @@ def statement(body: Column) -> Column:
     return F.nullif(F.regexp_extract(body, STATEMENT, 1), F.lit(""))
 
 
-def after_statement(body: Column, statement: Column) -> Column:
-    """What follows the administrator command, or else the statement(), of the body; null if blank."""
-    rest = F.when(statement.isNull(), F.regexp_extract(body, _ADMIN, 2)).otherwise(F.substring(without_comment(body), F.char_length(statement) + 1, F.char_length(body)))
+def after_statement(body: Column, statement: Column, uncommented: Column) -> Column:
+    """What follows the administrator command, or else the statement(), of the body; null if blank.  uncommented: without_comment(body)."""
+    rest = F.when(statement.isNull(), F.regexp_extract(body, _ADMIN, 2)).otherwise(F.substring(uncommented, F.char_length(statement) + 1, F.char_length(body)))
     return F.nullif(F.btrim(rest, F.lit(" \t\r\n")), F.lit(""))
 
 

@@ -81,7 +81,7 @@ def parse(
     rest = F.regexp_extract(F.col("_admin"), r"^\S*(.*)$", 1)  # what a strict reader leaves of a command of several words
     return df.select(
         *own,
-        when_ok(lines.log_time(f("time"))).alias("log_time"),
+        when_ok(F.date_trunc("MILLISECOND", "_time")).alias("log_time"),
         when_ok(lines.offset_minutes(f("time"))).alias("log_time_offset_minutes"),
         *[when_ok(c).alias(k) for k, c in (numbers | times | texts).items()],
         when_ok(F.regexp_replace(f("use_database"), "`", "")).alias("use_database"),
@@ -92,7 +92,7 @@ def parse(
         F.when(F.col("_a.valid"), map_context(pairs) if map_context else F.lit(None).cast("struct<request_id:string,caller:string,function:string,line:bigint>")).alias("context"),
         pairs.alias("comment_map"),
         F.col("_a.masked_values").alias("masked_values"),
-        when_ok(lines.after_statement(body, F.col("_raw"))).alias("_trailing"),
+        when_ok(lines.after_statement(body, F.col("_raw"), F.col("_own"))).alias("_trailing"),
         F.when(~ok, text).alias("_corrupt_record"),
         F.when(~ok, lines.corrupt_reason(text, F.col("_f"))).alias("_corrupt_reason"),
     )

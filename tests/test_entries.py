@@ -356,3 +356,10 @@ def test_events_of_one_row_group_are_rendered_in_many_tasks(spark):
     for df in (rendering.records(spark, "/root/testdata/sf0.001"), rendering.varied(spark, "/root/testdata/sf0.001")):
         tasks = df.groupBy(F.spark_partition_id()).count().collect()
         assert len(tasks) > 4 and max(n for _, n in tasks) < 2 * sum(n for _, n in tasks) / len(tasks)
+
+
+def test_the_time_is_read_and_the_comment_cut_off_once_for_all_columns(spark):
+    plan = executed(entries.parse(spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("event_type").alias("record"))).select("log_time", "_trailing"))
+    top = plan[: plan.index("Generate")]
+    assert "date_trunc(MILLISECOND, _time" in top and "as timestamp" not in top.split("FileScan")[0]
+    assert r"(?:\r?\n|\r|$)" not in top
