@@ -16,6 +16,9 @@ from slowscope.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Bytes of a log that the driver copies at once.
+_COPIED = 1 << 20
+
 
 def _ms() -> Column:
     return F.unix_millis("log_time").alias("log_time_ms")
@@ -211,7 +214,10 @@ def _grow(source: str, target: str, share: float) -> None:
         folder = slowlog.store(target)[1]
         store.create_dir(folder)
         with store.open_input_stream(inner) as a, store.open_output_stream(f"{folder}/{inner.rsplit('/', 1)[-1]}") as b:
-            b.write(a.read(int(size * share)))
+            left = int(size * share)
+            while left > 0 and (block := a.read(min(_COPIED, left))):
+                b.write(block)
+                left -= len(block)
 
 
 def s3_tail_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

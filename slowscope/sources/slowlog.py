@@ -6,6 +6,7 @@ import glob
 import re
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -18,6 +19,9 @@ _SEP = SEPARATOR.encode()
 SPLIT_BYTES = 64 << 20
 _CHUNK = 1 << 20
 
+#: What a reader sends at once: so many records, or one more than so many characters.
+BATCH_RECORDS, BATCH_CHARS = 2000, 1 << 20
+
 
 def read_records(spark: SparkSession, path: str | list[str], *, framing: str = "split") -> DataFrame:
     """entry_id, file_path, record.  entry_id: unique; not consecutive.
@@ -198,6 +202,24 @@ def grown_records(file, part: _Part) -> Iterator[str]:
         given = False
 
 
+def _batches(path: str, records: Iterable[str]) -> Iterator[pa.RecordBatch]:
+    """The records with their file's path, in batches of bounded size; Spark would hold 10,000 of any length."""
+    held: list[str] = []
+    size = 0
+    for record in records:
+        held.append(record)
+        size += len(record)
+        if size > BATCH_CHARS or len(held) == BATCH_RECORDS:
+            yield _batch(path, held)
+            held, size = [], 0
+    if held:
+        yield _batch(path, held)
+
+
+def _batch(path: str, records: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([path] * len(records), pa.string()), pa.array(records, pa.string())], ["file_path", "record"])
+
+
 class SlowLogDataSource(DataSource):
     """format("slowlog"): records of logs on a file system that pyarrow opens and every executor reaches.
 
@@ -242,8 +264,7 @@ class _Reader(DataSourceReader):
         with fs_.open_input_file(inner) as file:
             start = _record_start(file, partition.lo)
             found = (_text(piece) for piece, ended in _pieces(file, start, partition.hi) if ended or partition.last)
-            for record in exact_records(found) if self.framing == "exact" else found:
-                yield partition.path, record
+            yield from _batches(partition.path, exact_records(found) if self.framing == "exact" else found)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -265,8 +286,7 @@ class _StreamReader(DataSourceStreamReader):
     def read(self, partition):
         fs_, inner, _ = store(partition.path)
         with fs_.open_input_file(inner) as file:
-            for record in grown_records(file, partition):
-                yield partition.path, record
+            yield from _batches(partition.path, grown_records(file, partition))
 
 
 def register(spark: SparkSession) -> None:

@@ -1,4 +1,5 @@
 import datetime as dt
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -363,3 +364,28 @@ def test_the_time_is_read_and_the_comment_cut_off_once_for_all_columns(spark):
     top = plan[: plan.index("Generate")]
     assert "date_trunc(MILLISECOND, _time" in top and "as timestamp" not in top.split("FileScan")[0]
     assert r"(?:\r?\n|\r|$)" not in top
+
+
+def test_readers_send_batches_of_bounded_size(tmp_path):
+    n, long = 3 * slowlog.BATCH_RECORDS, slowlog.BATCH_CHARS // 4
+    (tmp_path / "a.log").write_text("".join(entry(f"SELECT {i};") for i in range(n)) + "".join(entry(f"SELECT '{'x' * long}';") for _ in range(20)))
+    options = {"path": str(tmp_path)}
+    stream_reader, size = slowlog._StreamReader(options), dict(slowlog.files(str(tmp_path)))
+    readers = [(stream_reader, stream_reader.partitions({}, size)), *[(r, r.partitions()) for r in (slowlog._Reader(options), slowlog._Reader(options | {"framing": "exact"}))]]
+    for reader, parts in readers:
+        found = [b for p in parts for b in reader.read(p)]
+        assert sum(b.num_rows for b in found) == n + 20
+        assert max(b.num_rows for b in found) <= slowlog.BATCH_RECORDS
+        assert max(b.nbytes for b in found) < 2 * slowlog.BATCH_CHARS
+
+
+def test_a_growing_log_is_copied_in_pieces(tmp_path):
+    (tmp_path / "own").mkdir()
+    text = bytes(range(256)) * 4096 * 32
+    (tmp_path / "own" / "a.log").write_bytes(text)
+    tracemalloc.start()
+    queries._grow(str(tmp_path / "own"), str(tmp_path / "grows"), 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (tmp_path / "grows" / "a.log").read_bytes() == text[: len(text) // 2]
+    assert peak < len(text) // 4
